@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinloom.llm import chat, fingerprints, mixing, token_shards
+from kinloom.llm import chat, fingerprints, mixing, pieces, token_shards
 from kinloom.llm.common import staged, table
 
 
@@ -46,6 +46,10 @@ FROM e GROUP BY conv_id
 """
 
 
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(pieces.encoded(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model")))
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -57,6 +61,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_shards": op1_token_shards,
     "op4_chat_format": op4_chat_format,
+    "op7_pieces": op7_pieces,
     "op8_fingerprints": op8_fingerprints,
     "op9_mixing": op9_mixing,
 }
