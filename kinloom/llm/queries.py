@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinloom.llm import chat, fingerprints, mixing, pieces, token_shards
+from kinloom.llm import chat, fingerprints, media, mixing, pieces, token_shards
 from kinloom.llm.common import staged, table
 
 
@@ -58,12 +58,17 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.document_media(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_shards": op1_token_shards,
     "op4_chat_format": op4_chat_format,
     "op7_pieces": op7_pieces,
     "op8_fingerprints": op8_fingerprints,
     "op9_mixing": op9_mixing,
+    "op10_media": op10_media,
 }
 
 ORACLES: dict[str, str] = {"op4_chat_format": OP4_SQL}
