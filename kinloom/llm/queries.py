@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinloom.llm import chat, fingerprints, media, mixing, pieces, token_shards, warc
+from kinloom.llm import chat, fingerprints, media, mixing, pieces, quality, token_shards, warc
 from kinloom.llm.common import staged, table
 
 
@@ -50,6 +50,10 @@ FROM e GROUP BY conv_id
 """
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(pieces.encoded(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model")))
 
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_shards": op1_token_shards,
     "op2_warc": op2_warc,
     "op4_chat_format": op4_chat_format,
+    "op5_quality": op5_quality,
     "op7_pieces": op7_pieces,
     "op8_fingerprints": op8_fingerprints,
     "op9_mixing": op9_mixing,
