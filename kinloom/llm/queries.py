@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinloom.llm import chat, fingerprints, media, mixing, pieces, quality, token_shards, warc
+from kinloom.llm import chat, fingerprints, media, mixing, pieces, quality, simhash, token_shards, warc
 from kinloom.llm.common import staged, table
 
 
@@ -54,6 +54,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(pieces.encoded(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model")))
 
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc": op2_warc,
     "op4_chat_format": op4_chat_format,
     "op5_quality": op5_quality,
+    "op6_simhash": op6_simhash,
     "op7_pieces": op7_pieces,
     "op8_fingerprints": op8_fingerprints,
     "op9_mixing": op9_mixing,
