@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinloom.llm import chat, fingerprints, media, mixing, pieces, quality, simhash, token_shards, warc
+from kinloom.llm import chat, fingerprints, lines, media, mixing, pieces, quality, simhash, token_shards, warc
 from kinloom.llm.common import staged, table
 
 
@@ -25,6 +25,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
@@ -77,6 +81,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_shards": op1_token_shards,
     "op2_warc": op2_warc,
+    "op3_line_dedup": op3_line_dedup,
     "op4_chat_format": op4_chat_format,
     "op5_quality": op5_quality,
     "op6_simhash": op6_simhash,
