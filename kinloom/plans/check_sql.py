@@ -29,7 +29,7 @@ cit AS (SELECT a.file_id, a.rec_no, a.rx, a.rec_tag, a.l1_no, a.lineno, a.level,
 ptr AS (SELECT *, trim(value) AS target FROM l WHERE level > 0 AND regexp_matches(trim(value), '^@[^@]+@$')),
 def AS (SELECT file_id, xref AS target, min_by(tag, lineno) AS target_tag FROM l WHERE level = 0 AND xref IS NOT NULL GROUP BY ALL),
 edge AS (SELECT file_id, rx AS fam, tag AS role, target AS indi, lineno AS ord FROM ptr WHERE rec_tag = 'FAM' AND level = 1 AND tag IN ('HUSB', 'WIFE', 'CHIL')),
-fam AS (SELECT file_id, rec_no AS ord, rx AS xref, max_by(trim(value), lineno) FILTER (tag = 'HUSB') AS husb, max_by(trim(value), lineno) FILTER (tag = 'WIFE') AS wife FROM l WHERE rec_tag = 'FAM' AND level <= 1 GROUP BY ALL),
+fam AS (SELECT * FROM (SELECT file_id, rec_no AS ord, rx AS xref, max_by(trim(value), lineno) FILTER (tag = 'HUSB') AS husb, max_by(trim(value), lineno) FILTER (tag = 'WIFE') AS wife FROM l WHERE rec_tag = 'FAM' AND level <= 1 GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY file_id, xref ORDER BY ord DESC) = 1),
 vit AS (SELECT i.file_id, i.rx AS xref, upper(trim(max_by(i.value, i.lineno) FILTER (i.tag = 'SEX'))) AS sex,
   (SELECT min_by(CAST(regexp_extract(e.date_raw, '\\b(\\d{{3,4}})\\b', 1) AS INT), e.l1_no) FROM ev e WHERE e.file_id = i.file_id AND e.rx = i.rx AND e.rec_tag = 'INDI' AND e.tag = 'BIRT' AND regexp_matches(e.date_raw, '\\b\\d{{3,4}}\\b')) AS birth,
   (SELECT min_by(CAST(regexp_extract(e.date_raw, '\\b(\\d{{3,4}})\\b', 1) AS INT), e.l1_no) FROM ev e WHERE e.file_id = i.file_id AND e.rx = i.rx AND e.rec_tag = 'INDI' AND e.tag = 'DEAT' AND regexp_matches(e.date_raw, '\\b\\d{{3,4}}\\b')) AS death
