@@ -5,16 +5,25 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kinloom.operators import checks
-from kinloom.plans import check_sql
+from kinloom.functions import dates, text
+from kinloom.operators import checks, graph, linkage, rewrites
+from kinloom.plans import check_sql, more_sql, pipelines
 from kinloom.sources import lineage, synthetic
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+_LINES: dict[tuple[int, str], DataFrame] = {}
+
+
 def scan(spark: SparkSession, sf_dir: str) -> checks.Scan:
-    return checks.Scan(lineage.parse_lines(synthetic.raw_lines(spark, sf_dir)))
+    """The lines, parsed once for each table folder and session and kept: all rules share one scan."""
+    key = (id(spark), sf_dir)
+    if key not in _LINES:
+        _LINES[key] = lineage.parse_lines(synthetic.raw_lines(spark, sf_dir)).persist()
+    return checks.Scan(_LINES[key])
 
 
 def _check(name: str) -> Query:
@@ -25,5 +34,230 @@ QUERIES: dict[str, Query] = {f"check_{name}": _check(name) for name in checks.RU
 ORACLES: dict[str, str] = {f"check_{name}": sql for name in checks.RULES if (sql := check_sql.oracle(name))}
 
 
+# rewrites, views, scalars and linkage
+def _fix(name: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        lines = scan(spark, sf_dir).lines
+        return rewrites.changes(lines, rewrites.FIXES[name](lines))
+
+    return run
+
+
+def _read(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
+    return [spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names]
+
+
+def _sql(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFrame:
+    for n, df in zip(names, _read(spark, sf_dir, *names)):
+        df.createOrReplaceTempView(n)
+    return spark.sql(sql)
+
+
+def q_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _sql(spark, sf_dir, more_sql.date_texts(True), "orders")
+    rows = rows.select("id", "written", dates.normalize_date(F.col("written")).alias("normal"))
+    rows = rows.withColumn("d", dates.parse_date(F.col("normal")))
+    return rows.select("id", "written", "normal", F.coalesce("d.qualifier", F.lit("")).alias("qualifier"), "d.year", "d.month", "d.day", "d.year2", dates.specificity(F.col("d")).cast("int").alias("specificity"))
+
+
+def q_merge_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _sql(spark, sf_dir, more_sql.date_texts(True), "orders").select("id", "yn", "mn", "dn")
+
+    def date(v) -> F.Column:  # noqa: ANN001
+        q = F.when(v == 2, "ABT").when(v == 3, "BEF").when(v == 4, "BET").when(v == 6, "AFT")
+        return F.struct(q.alias("qualifier"), F.col("yn").alias("year"), F.when(v.isin(0, 1, 3, 5, 7), F.col("mn")).alias("month"), F.when(v.isin(0, 3, 5, 7), F.col("dn")).alias("day"), F.lit(None).cast("int").alias("year2"))
+
+    a, b = date(F.col("id") % 8), date((F.col("id") + 3) % 8)
+    return rows.select("id", F.when(linkage.prefer_date(F.struct(a.alias("d"), F.lit("a").alias("s"))["d"], b).eqNullSafe(b) & ~a.eqNullSafe(b) & (dates.specificity(b) > dates.specificity(a)), "b").otherwise("a").alias("side"))
+
+
+def _parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sql(spark, sf_dir, more_sql.PARENTS, "customer")
+
+
+def q_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (c,) = _read(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    return graph.trees(c.select(k.alias("node")), c.filter((k % 100 < 60) & (k % 20 > 0)).select(k.alias("a"), (k - 1).alias("b")))
+
+
+def q_half_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (c,) = _read(spark, sf_dir, "customer")
+    fam = F.floor(F.col("c_custkey") / 4)
+    kids = c.select(F.lit("x").alias("file_id"), fam.alias("fam"), F.lit("CHIL").alias("role"), F.col("c_custkey").alias("indi"), F.col("c_custkey").alias("ord"))
+    up = c.select(F.lit("x").alias("file_id"), fam.alias("fam"), F.lit("HUSB").alias("role"), F.floor(fam / 3).alias("indi"), F.lit(0).cast("long").alias("ord")).distinct()
+    return graph.half_siblings(kids.unionByName(up)).select("file_id", "indi", "shared_parent", "half")
+
+
+def q_primary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (o,) = _read(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    return graph.primary_families(o.select(F.col("o_custkey").alias("person"), k.alias("fam"), (k % 5 == 0).alias("with_focus"), (k % 3 == 0).alias("on_lineage"), F.when(k % 4 != 0, F.year("o_orderdate")).alias("married"), F.lit(None).cast("int").alias("other_birth"), k.alias("number")))
+
+
+def q_subsumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (o,) = _read(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    return graph.subsumed(o.select(F.col("o_custkey").alias("place"), k.alias("id"), (k % 50).alias("low"), (k % 50 + k % 17).alias("high")), "place")
+
+
+def q_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (e,) = _read(spark, sf_dir, "events")
+    return graph.collapse_runs(e, "user_id", "event_id", "event_type", F.col("event_id"), F.col("event_id"))
+
+
+def q_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, r = _read(spark, sf_dir, "nation", "region")
+    rows = n.join(r, n["n_regionkey"] == r["r_regionkey"])
+    k = F.col("n_nationkey") % 3
+    raw = F.when(k == 0, F.concat(F.lit(" "), "n_name", F.lit(" ,"), "r_name", F.lit(","))).when(k == 1, F.concat("n_name", F.lit(",x,  "), "r_name")).otherwise(F.concat(F.lit(","), "n_name"))
+    return rows.select(F.col("n_nationkey").alias("id"), text.normalize_place(raw).alias("normal"), text.shown_place(raw).alias("shown"), text.classify_place_part(F.col("n_name")).alias("kind"))
+
+
+def q_place_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (n,) = _read(spark, sf_dir, "nation")
+    place = lambda s: F.concat_ws(", ", f"{s}.n_name", F.concat(F.lit("Region "), F.col(f"{s}.n_regionkey").cast("string")))
+    pairs = n.alias("x").join(n.alias("y"), F.col("x.n_nationkey") % 5 == F.col("y.n_nationkey") % 5)
+    return pairs.select(F.col("x.n_nationkey").alias("a"), F.col("y.n_nationkey").alias("b"), text.place_similarity(place("x"), place("y")).alias("score"))
+
+
+def q_close_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (b,) = _read(spark, sf_dir, "benchmark")
+    words = b.select(F.explode(F.split("text", "[^A-Za-z]+")).alias("key")).select(F.lower("key").alias("key")).filter("key <> ''").distinct()
+    return linkage.close_keys(words, words)
+
+
+def q_place_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (n,) = _read(spark, sf_dir, "nation")
+    names = n.select(F.lower("n_name").alias("key")).distinct()
+    return linkage.close_keys(names, names)
+
+
+def q_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (c,) = _read(spark, sf_dir, "customer")
+    return c.filter(text.matches_search(F.col("c_name"), F.lit("00001"))).select(F.col("c_custkey").alias("id"))
+
+
+def q_id_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (c,) = _read(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    matched = c.filter(k % 3 == 0).select(k.alias("xref_b"), F.format_string("@I%d@", k).alias("xref_a"))
+    return linkage.id_map(matched, c.filter(k % 3 != 0).select(k.alias("xref_b")))
+
+
+def q_match_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Families of six keys: in b, a third have both spouses of a, a third one spouse and a child, a third two children."""
+    (c,) = _read(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    fam = c.filter(k % 6 == 0)
+    a = fam.select(k.alias("xref"), k.alias("husb"), (k + 1).alias("wife"), F.array(k + 2, k + 3).alias("chil"))
+    none = F.lit(None).cast("long")
+    husb, wife = F.when(k % 18 != 12, k + 1_000_000).otherwise(none), F.when(k % 18 == 0, k + 1_000_001).otherwise(none)
+    b = fam.select(k.alias("xref"), husb.alias("husb"), wife.alias("wife"), F.array(k + 1_000_002, k + 1_000_003).alias("chil"))
+    people = fam.select(F.explode(F.array(k, k + 1, k + 2, k + 3)).alias("m_a")).withColumn("m_b", F.col("m_a") + 1_000_000)
+    return linkage.match_families(a, b, people).select("xref_b", "xref_a", "rule")
+
+
+def q_merge_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (c,) = _read(spark, sf_dir, "customer")
+    rows = lambda r: c.filter(F.col("c_custkey") % 2 == r).select(F.col("c_nationkey").alias("owner"), F.lit(r).alias("side"), F.col("c_custkey").alias("ord"), F.col("c_mktsegment").alias("note"))
+    return linkage.merge_unique(rows(0), rows(1), "owner", F.trim("note"), "ord").select("owner", "side", "note")
+
+
+def q_occupations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (d,) = _read(spark, sf_dir, "documents")
+    k = F.col("doc_id")
+    note = F.when(k % 5 == 0, F.concat(F.lit("Status: x; Occupation: Tailor "), k.cast("string"), F.lit("; y"))).when(k % 5 == 1, "Occupation: Retired").otherwise("none")
+    return d.select("doc_id", text.occupation(note).alias("occupation"))
+
+
+def q_long_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (d,) = _read(spark, sf_dir, "documents")
+    lines = d.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    return lines.filter(F.char_length("line") > checks.MAX_LINE).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+def q_tag_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (p,) = _read(spark, sf_dir, "pages")
+    return p.select("page_id", F.regexp_replace("html", text.MARKUP, "").alias("text"))
+
+
+def q_decode_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (p,) = _read(spark, sf_dir, "pages")
+    return p.select("page_id", text.decode_html("html").alias("text"))
+
+
+def _files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two files of the same people, the second under other numbers."""
+    lines = scan(spark, sf_dir).lines
+    one = lines.filter("file_id = 'f0'")
+    return one, one.withColumn("file_id", F.lit("g0"))
+
+
+def q_link(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipelines.link(*_files(spark, sf_dir))
+
+
+def q_source_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sources = lineage.sources(scan(spark, sf_dir).lines.filter("file_id = 'f0'")).filter("title is not null")
+    return linkage.source_scores(sources, sources)
+
+
+def _lines(f: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: f(scan(spark, sf_dir).lines)
+
+
+def _edges(f: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: f(scan(spark, sf_dir).edges)
+
+
+def q_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = scan(spark, sf_dir)
+    return graph.timeline(s.edges, s.vitals)
+
+
+VIEWS: dict[str, Query] = {
+    "parse_lines": _lines(lambda x: x.select("file_id", "lineno", "level", "tag", "value", "rec_no", F.coalesce("rec_xref", F.lit("")).alias("rec_xref"), "rec_tag", "l1_no", "parent_lineno")),
+    "fold_lines": _lines(lambda x: lineage.fold(x).select("file_id", "lineno", "value")),
+    "people": _lines(lambda x: lineage.people(x.filter("level is not null")).select("file_id", "xref", "sex", F.size("names").cast("long").alias("names"), F.array_join("fams", ",").alias("fams"), F.array_join("famc", ",").alias("famc"))),
+    "events": _lines(lambda x: lineage.events(x.filter("level is not null")).select("file_id", F.col("owner_xref").alias("owner"), "tag", "l1_no", "date_raw", "place", F.col("nth").cast("long").alias("nth"))),
+    "citations": _lines(lambda x: lineage.citations(x.filter("level is not null")).select("file_id", "lineno", F.col("rec_xref").alias("owner"), F.col("source_xref").alias("source"), "page")),
+    "source_titles": _lines(lambda x: lineage.sources(x.filter("level is not null")).select("file_id", "xref", "title", "author")),
+    "all_places": _lines(lambda x: lineage.events(x.filter("level is not null")).filter("place <> ''").select("place").distinct()),
+    "graph_ancestors": lambda spark, sf_dir: graph.ancestors(_parents(spark, sf_dir), 0),
+    "graph_cycles": lambda spark, sf_dir: graph.cycles(_sql(spark, sf_dir, more_sql.UPWARD, "customer")),
+    "graph_trees": q_trees,
+    "graph_siblings": _edges(graph.siblings),
+    "graph_spouses": _edges(graph.spouses),
+    "graph_parents": _edges(graph.parents_of),
+    "graph_half_siblings": q_half_siblings,
+    "graph_timeline": q_timeline,
+    "collapse_runs": q_collapse,
+    "subsumed_ranges": q_subsumed,
+    "primary_families": q_primary,
+    "dates": q_dates,
+    "merge_dates": q_merge_dates,
+    "places": q_places,
+    "place_similarity": q_place_similarity,
+    "place_pairs": q_place_pairs,
+    "close_words": q_close_words,
+    "search_people": q_search,
+    "id_map": q_id_map,
+    "match_families": q_match_families,
+    "merge_unique": q_merge_unique,
+    "nonstandard_counts": lambda spark, sf_dir: _read(spark, sf_dir, "events")[0].groupBy("event_type").agg(F.count("*").alias("n")),
+    "occupations": q_occupations,
+    "long_documents": q_long_documents,
+    "tag_strip": q_tag_strip,
+    "decode_html": q_decode_html,
+    "link_people": q_link,
+    "source_scores": q_source_scores,
+    "export_minimal": _lines(lambda x: rewrites.export_minimal(x)),
+    "delete_person": _lines(lambda x: rewrites.changes(x, rewrites.delete_person(x, "f0", "@I8@"))),
+}
+QUERIES |= {f"fix_{name}": _fix(name) for name in rewrites.FIXES} | VIEWS
+ORACLES |= {f"fix_{name}": sql for name, sql in more_sql.FIX_SQL.items()} | more_sql.GRAPH_SQL | {"dates": more_sql.DATES_SQL}
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.severity_summary(scan(spark, sf_dir))
