@@ -176,7 +176,7 @@ def normalize_place(value: Column) -> Column:
 
 
 def place_parts(value: Column) -> Column:
-    return F.filter(F.transform(F.split(value, ","), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(value, ","), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def classify_place_part(part: Column) -> Column:
@@ -238,7 +238,7 @@ def linkify(s: Column) -> Column:
 def notexml_lines(s: Column) -> Column:
     """The lines of a <notexml> note, raw or escaped."""
     raw = F.replace(F.replace(F.replace(s, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&amp;"), F.lit("&"))
-    return F.transform(F.regexp_extract_all(raw, F.lit(r"(?s)<line>(.*?)</line>"), F.lit(1)), F.trim)
+    return F.transform(F.regexp_extract_all(raw, F.lit(r"(?s)<line>(.*?)</line>"), F.lit(1)), lambda x: F.trim(x))
 
 
 def json_for_script(value: Column) -> Column:
