@@ -86,8 +86,8 @@ def found(df: DataFrame, detail: Column | str = "value", lineno: str = "lineno",
     return df.select("file_id", F.col(lineno).cast("long").alias("lineno"), F.coalesce(F.col(xref), F.lit("")).alias("xref"), F.coalesce(detail.cast("string"), F.lit("")).alias("detail"))
 
 
-def line_rule(name: str, test: Callable[[], Column], severity: str = "WARNING", detail: Column | str = "value") -> None:
-    RULES[name] = (severity, lambda s: found(s.lines.filter(test()), detail))
+def line_rule(name: str, test: Callable[[], Column], severity: str = "WARNING", detail: Callable[[], Column] | str = "value") -> None:
+    RULES[name] = (severity, lambda s: found(s.lines.filter(test()), detail if isinstance(detail, str) else detail()))
 
 
 def _tag(*tags: str) -> Column:
@@ -101,19 +101,19 @@ line_rule("date_bad_format", lambda: _tag("DATE") & (V("level") == 2) & V("value
 line_rule("date_month_caps", lambda: _tag("DATE") & (dates.upper_months(V("value")) != V("value")))
 line_rule("dateless_date", lambda: _tag("DATE") & V("value").rlike(r"(?i)^\s*\d{1,2}\s+(JAN|FEB|MAR|APR|MAY|JUN|JUL|AUG|SEP|OCT|NOV|DEC)\.?\s*$"))
 line_rule("name_double_spaces", lambda: _tag("NAME") & (F.trim(F.regexp_replace("value", "  +", " ")) != V("value")))
-line_rule("long_line", lambda: F.char_length("raw") > MAX_LINE, detail=F.char_length("raw"))
+line_rule("long_line", lambda: F.char_length("raw") > MAX_LINE, detail=lambda: F.char_length("raw"))
 line_rule("name_slashes", lambda: _tag("NAME") & (F.regexp_count("value", F.lit("/")) > 2))
 line_rule("name_slash_balance", lambda: _tag("NAME") & (F.regexp_count("value", F.lit("/")) % 2 == 1))
 line_rule("sex_value", lambda: _tag("SEX") & (V("level") == 1) & ~F.trim("value").isin("M", "F", "U"), "ERROR")
 line_rule("html_entity", lambda: V("raw").rlike(text.ENTITY) | V("raw").rlike(text.MARKUP))
 line_rule("plac_spacing", lambda: _tag("PLAC") & (V("value") != "") & (text.normalize_place(V("value")) != V("value")))
 line_rule("blank_plac", lambda: _tag("PLAC") & (V("level") > 1) & (F.trim("value") == ""))
-line_rule("plac_address_part", lambda: _tag("PLAC") & (F.size(F.split("value", ",")) >= 2) & text.classify_place_part(F.get(F.split("value", ","), F.lit(0))).isin("addr", "note"), detail=text.classify_place_part(F.get(F.split("value", ","), F.lit(0))))
+line_rule("plac_address_part", lambda: _tag("PLAC") & (F.size(F.split("value", ",")) >= 2) & text.classify_place_part(F.get(F.split("value", ","), F.lit(0))).isin("addr", "note"), detail=lambda: text.classify_place_part(F.get(F.split("value", ","), F.lit(0))))
 line_rule("age_value", lambda: _tag("AGE") & ((F.char_length("value") > 12) | ~F.trim("value").rlike(dates.AGE)), "ERROR")
 line_rule("resn_value", lambda: _tag("RESN") & ~F.lower(F.trim("value")).isin("confidential", "locked", "privacy"), "ERROR")
 line_rule("pedi_value", lambda: _tag("PEDI") & ~F.lower(F.trim("value")).isin("adopted", "birth", "foster", "sealing"), "ERROR")
 line_rule("quay_value", lambda: _tag("QUAY") & ~F.trim("value").isin("", "0", "1", "2", "3"), "ERROR")
-line_rule("occu_length", lambda: _tag("OCCU") & (F.char_length("value") > MAX_OCCU), detail=F.char_length("value"))
+line_rule("occu_length", lambda: _tag("OCCU") & (F.char_length("value") > MAX_OCCU), detail=lambda: F.char_length("value"))
 line_rule("bare_at_sign", lambda: ~F.trim("value").rlike(L.POINTER) & F.regexp_replace(F.replace("value", F.lit("@@"), F.lit("")), r"@[^@\s]+@", "").contains("@"))
 line_rule("nickname_in_name", lambda: _tag("NAME") & F.substring_index("value", "/", 1).rlike('"[^"]+"'))
 line_rule("curly_quotes", lambda: V("raw").rlike("[" + "".join(text.QUOTES) + "]"))
@@ -133,13 +133,13 @@ def malformed_xref(s: Scan) -> DataFrame:
 # a line and its neighbours or its record
 @rule("level_jump", "ERROR")
 def level_jump(s: Scan) -> DataFrame:
-    rows = s.lines.filter("level is not null").withColumn("before", F.lag("level").over(L.FILE))
+    rows = s.lines.filter("level is not null").withColumn("before", F.lag("level").over(L.by_file()))
     return found(rows.filter("level > before + 1"), F.concat_ws(">", V("before").cast("string"), V("level").cast("string")))
 
 
 @rule("trailing_whitespace")
 def trailing_whitespace(s: Scan) -> DataFrame:
-    rows = s.lines.withColumn("next", F.lead("tag").over(L.FILE))
+    rows = s.lines.withColumn("next", F.lead("tag").over(L.by_file()))
     return found(rows.filter((F.rtrim("raw") != V("raw")) & (F.coalesce("next", F.lit("")) != "CONC")), F.lit(""))
 
 
@@ -153,12 +153,12 @@ def conc_cont_level(s: Scan) -> DataFrame:
 @rule("mid_word_conc")
 def mid_word_conc(s: Scan) -> DataFrame:
     own = s.lines.filter("rec_tag = 'NOTE' and (level = 0 or tag in ('CONC', 'CONT'))")
-    rows = own.withColumn("before", F.lag("value").over(L.RECORD)).filter(_tag("CONC"))
+    rows = own.withColumn("before", F.lag("value").over(L.by_record())).filter(_tag("CONC"))
     return found(rows.filter(V("before").rlike(r"\p{L}$") & V("value").rlike(r"^\p{Ll}")), F.concat(F.substring("before", -1, 1), F.lit("|"), F.substring("value", 1, 4)))
 
 
 def _under(s: Scan, child: str, parent: str, not_in_source: bool) -> DataFrame:
-    rows = s.lines.filter("level is not null").withColumn("p_level", F.lag("level").over(L.FILE)).withColumn("p_tag", F.lag("tag").over(L.FILE))
+    rows = s.lines.filter("level is not null").withColumn("p_level", F.lag("level").over(L.by_file())).withColumn("p_tag", F.lag("tag").over(L.by_file()))
     rows = rows.withColumn("source_level", L.last_in(F.when(_tag("SOUR"), V("level")).when(V("level") <= 1, -1)))
     rows = rows.filter(_tag(child) & (V("p_tag") == parent) & (V("level") == V("p_level") + 1))
     return found(rows.filter("source_level is null or source_level < 0 or level <= source_level") if not_in_source else rows)
@@ -173,12 +173,12 @@ RULES["note_under_addr"] = ("WARNING", lambda s: _under(s, "NOTE", "ADDR", True)
 def record_order(s: Scan) -> DataFrame:
     rank = F.coalesce(F.create_map(*[F.lit(x) for kv in RANKS.items() for x in kv])[V("tag")], F.lit(8))
     heads = s.lines.filter("level = 0").withColumn("rank", rank).filter("tag <> 'TRLR'")
-    return found(heads.withColumn("most", F.max("rank").over(L.FILE.rowsBetween(W.unboundedPreceding, -1))).filter("rank < most"), "tag")
+    return found(heads.withColumn("most", F.max("rank").over(L.by_file().rowsBetween(W.unboundedPreceding, -1))).filter("rank < most"), "tag")
 
 
 @rule("bare_event", "INFO")
 def bare_event(s: Scan) -> DataFrame:
-    rows = s.lines.filter("level is not null").withColumn("next", F.lead("level").over(L.FILE))
+    rows = s.lines.filter("level is not null").withColumn("next", F.lead("level").over(L.by_file()))
     return found(rows.filter(_tag("BIRT", "CHR", "DEAT") & (V("level") == 1) & (F.trim("value") == "") & (F.coalesce("next", F.lit(0)) < 2)), "tag")
 
 

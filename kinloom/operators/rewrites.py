@@ -127,7 +127,7 @@ def physical_attributes(lines: DataFrame) -> DataFrame:
 
 @fix("trailing_whitespace")
 def trailing_whitespace(lines: DataFrame) -> DataFrame:
-    rows = lines.withColumn("next", F.lead("tag").over(L.FILE))
+    rows = lines.withColumn("next", F.lead("tag").over(L.by_file()))
     return out(rows, F.when(F.coalesce("next", F.lit("")) != "CONC", F.rtrim("raw")).otherwise(V("raw")))
 
 
@@ -140,7 +140,7 @@ def conc_cont_levels(lines: DataFrame) -> DataFrame:
 
 @fix("bare_events")
 def bare_events(lines: DataFrame) -> DataFrame:
-    rows = lines.withColumn("next", F.lead("level").over(L.FILE))
+    rows = lines.withColumn("next", F.lead("level").over(L.by_file()))
     test = _tag("BIRT", "CHR", "DEAT") & (V("level") == 1) & (F.trim("value") == "") & (F.coalesce("next", F.lit(0)) < 2)
     return out(rows, F.when(test, line(1, V("tag"), "Y")).otherwise(V("raw")))
 
@@ -323,7 +323,7 @@ def _promote(child: str, new: str, parent: str) -> Fix:
     """A child line right under its parent becomes the parent's sibling, under another tag."""
 
     def run(lines: DataFrame) -> DataFrame:
-        rows = lines.withColumn("p_tag", F.lag("tag").over(L.FILE)).withColumn("p_level", F.lag("level").over(L.FILE))
+        rows = lines.withColumn("p_tag", F.lag("tag").over(L.by_file())).withColumn("p_level", F.lag("level").over(L.by_file()))
         test = _tag(child) & (V("p_tag") == parent) & (V("level") == V("p_level") + 1)
         return out(rows, F.when(test, line(V("p_level"), new, V("value"))).otherwise(V("raw")))
 
@@ -337,8 +337,8 @@ FIXES["note_under_plac"] = _promote("NOTE", "ADDR", "PLAC")
 @fix("note_under_addr")
 def note_under_addr(lines: DataFrame) -> DataFrame:
     """ADDR street with NOTE venue becomes ADDR venue with CONT street."""
-    rows = lines.withColumn("n_tag", F.lead("tag").over(L.FILE)).withColumn("n_level", F.lead("level").over(L.FILE)).withColumn("n_value", F.lead("value").over(L.FILE))
-    rows = rows.withColumn("p_tag", F.lag("tag").over(L.FILE)).withColumn("p_level", F.lag("level").over(L.FILE)).withColumn("p_value", F.lag("value").over(L.FILE))
+    rows = lines.withColumn("n_tag", F.lead("tag").over(L.by_file())).withColumn("n_level", F.lead("level").over(L.by_file())).withColumn("n_value", F.lead("value").over(L.by_file()))
+    rows = rows.withColumn("p_tag", F.lag("tag").over(L.by_file())).withColumn("p_level", F.lag("level").over(L.by_file())).withColumn("p_value", F.lag("value").over(L.by_file()))
     head = _tag("ADDR") & (V("n_tag") == "NOTE") & (V("n_level") == V("level") + 1)
     tail = _tag("NOTE") & (V("p_tag") == "ADDR") & (V("level") == V("p_level") + 1)
     return out(rows, F.when(head, line(V("level"), "ADDR", V("n_value"))).when(tail, line(V("level"), "CONT", V("p_value"))).otherwise(V("raw")))
@@ -347,7 +347,7 @@ def note_under_addr(lines: DataFrame) -> DataFrame:
 @fix("note_reflow")
 def note_reflow(lines: DataFrame) -> DataFrame:
     """Shared notes with short or mid-word CONC lines are folded and wrapped anew."""
-    own = lines.filter("rec_tag = 'NOTE'").withColumn("before", F.lag("value").over(L.RECORD))
+    own = lines.filter("rec_tag = 'NOTE'").withColumn("before", F.lag("value").over(L.by_record()))
     bad = own.filter(_tag("CONC") & ((F.char_length("value") < C.SHORT_CONC) | (V("before").rlike(r"[\p{L}\p{N}]$") & V("value").rlike(r"^[\p{L}\p{N}]")))).select("file_id", "rec_no").distinct()
     nodes = L.fold(lines).filter("rec_tag = 'NOTE' and level = 0").join(bad, ["file_id", "rec_no"])
     texts = nodes.select("file_id", "lineno", "xref", F.posexplode(F.split("value", "\n")).alias("k", "part"))
@@ -382,11 +382,11 @@ def sort_events(lines: DataFrame) -> DataFrame:
     return _reordered(rows, "rec_no", F.coalesce("to", "l1_no", "lineno"), "lineno")
 
 
-def _sorted_children(parents: Column, key: Column) -> Fix:
+def _sorted_children(parents: Callable[[], Column], key: Callable[[], Column]) -> Fix:
     """Children of some lines in the stable order of a key, each with the lines below it."""
 
     def run(lines: DataFrame) -> DataFrame:
-        kids = L.with_parent(lines.filter("level is not null"), "tag", "level").filter(parents).select("file_id", "rec_no", "lineno", F.col("parent_lineno").alias("owner"), key.alias("key"))
+        kids = L.with_parent(lines.filter("level is not null"), "tag", "level").filter(parents()).select("file_id", "rec_no", "lineno", F.col("parent_lineno").alias("owner"), key().alias("key"))
         rows = lines.join(kids, ["file_id", "rec_no", "lineno"], "left")
         chunk = L.last_in(F.when(V("key").isNotNull() | (V("level") <= 1), F.struct("lineno", "owner", "key")))
         rows = rows.withColumn("chunk", chunk)
@@ -395,8 +395,8 @@ def _sorted_children(parents: Column, key: Column) -> Fix:
     return run
 
 
-FIXES["name_piece_order"] = _sorted_children((V("parent_tag") == "NAME") & (V("parent_level") == 1), F.when(_tag(*C.NAME_PIECES), 0).when(_tag("TYPE"), 1).otherwise(2))
-FIXES["event_source_order"] = _sorted_children(V("parent_tag").isin(*L.EVENT_TAGS) & (V("parent_level") == 1), F.when(_tag("NOTE"), 2).when(_tag("SOUR"), 1).otherwise(0))
+FIXES["name_piece_order"] = _sorted_children(lambda: (V("parent_tag") == "NAME") & (V("parent_level") == 1), lambda: F.when(_tag(*C.NAME_PIECES), 0).when(_tag("TYPE"), 1).otherwise(2))
+FIXES["event_source_order"] = _sorted_children(lambda: V("parent_tag").isin(*L.EVENT_TAGS) & (V("parent_level") == 1), lambda: F.when(_tag("NOTE"), 2).when(_tag("SOUR"), 1).otherwise(0))
 
 #: The two profiles of the linter, and the clean-up that comes before.
 LINT = ("long_lines", "trailing_whitespace", "normalize_dates", "date_caps", "dateless_dates", "curly_quotes", "name_double_spaces", "unknown_surname", "name_case", "nicknames", "name_pieces", "name_piece_order", "plac", "addr_under_plac", "note_under_plac", "note_under_addr", "plac_addresses", "aka_facts", "bapm_births", "duplicate_citations", "redundant_pages", "sole_alternate", "duplicate_names", "duplicate_resi", "dangling_pointers", "bare_events", "event_source_order", "sort_events", "record_order")
@@ -430,7 +430,7 @@ def export_minimal(lines: DataFrame, strip_notes: bool = False, keep_fact_source
     nth = F.row_number().over(W.partitionBy("file_id", "rec_no", "l1_no", "source_xref").orderBy("lineno"))
     again = L.citations(lines.filter("level is not null")).filter("level > 1").withColumn("nth", nth).filter("nth > 1").select("file_id", "rec_no", "lineno")
     left = without(lines, subtree(lines, roots.unionByName(again)))
-    empty = left.withColumn("next", F.lead("level").over(L.FILE)).filter(V("tag").isin(*L.EVENT_TAGS) & (V("level") == 1) & (F.trim("value") == "") & (F.coalesce("next", F.lit(0)) < 2))
+    empty = left.withColumn("next", F.lead("level").over(L.by_file())).filter(V("tag").isin(*L.EVENT_TAGS) & (V("level") == 1) & (F.trim("value") == "") & (F.coalesce("next", F.lit(0)) < 2))
     return out(without(left, empty))
 
 

@@ -10,12 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 #: level, cross-reference, tag, value
 GRAMMAR = r"^\s*(\d+)(?:\s+(@[^@]+@))?\s+(\S+)(?: (.*))?$"
 POINTER = r"^@[^@]+@$"
-FILE = W.partitionBy("file_id").orderBy("lineno")
-RECORD = W.partitionBy("file_id", "rec_no").orderBy("lineno")
 #: Deepest level that the parent search tells apart.
 DEEPEST = 12
 EVENT_TAGS = (
@@ -23,13 +22,21 @@ EVENT_TAGS = (
 )
 
 
+def by_file() -> WindowSpec:
+    return W.partitionBy("file_id").orderBy("lineno")
+
+
+def by_record() -> WindowSpec:
+    return W.partitionBy("file_id", "rec_no").orderBy("lineno")
+
+
 def read_raw(spark: SparkSession, path: str, charset: str | None = None) -> DataFrame:
     """(file_id, lineno, raw) of each file below path. Bytes are decoded by the charset that the file's CHAR line
     declares (UTF-8 where it declares none); a byte-order mark goes; a file is one task's work."""
     files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file_id"), "content")
-    declared = F.upper(F.regexp_extract(F.decode("content", F.lit("ISO-8859-1")), r"(?m)^\s*1 CHAR +([A-Za-z0-9-]+)", 1))
+    declared = F.upper(F.regexp_extract(F.decode("content", "ISO-8859-1"), r"(?m)^\s*1 CHAR +([A-Za-z0-9-]+)", 1))
     latin = F.lit(charset == "latin-1") if charset else declared.isin("ANSI", "CP1252", "ANSEL")
-    text = F.when(latin, F.decode("content", F.lit("ISO-8859-1"))).otherwise(F.decode("content", F.lit("UTF-8")))
+    text = F.when(latin, F.decode("content", "ISO-8859-1")).otherwise(F.decode("content", "UTF-8"))
     text = F.regexp_replace(F.regexp_replace(text, "^﻿", ""), "\r\n?", "\n")
     rows = files.select("file_id", F.posexplode(F.split(F.regexp_replace(text, "\n\\z", ""), "\n")).alias("n", "raw"))
     return rows.select("file_id", (F.col("n") + 1).cast("long").alias("lineno"), "raw")
@@ -40,20 +47,20 @@ def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file_id"), F.sha2("content", 256).alias("sha256"))
 
 
-def last_in(column: Column, window=RECORD) -> Column:
-    """The latest value that is not null, up to this row."""
-    return F.last(column, ignorenulls=True).over(window.rowsBetween(W.unboundedPreceding, 0))
+def last_in(column: Column, window: WindowSpec | None = None) -> Column:
+    """The latest value that is not null, up to this row, in the record."""
+    return F.last(column, ignorenulls=True).over((window or by_record()).rowsBetween(W.unboundedPreceding, 0))
 
 
 def parse_lines(raw: DataFrame) -> DataFrame:
     """raw: (file_id, lineno, raw). Lines outside the grammar have a null level and no record of their own."""
     group = lambda k: F.regexp_extract("raw", GRAMMAR, k)
     rows = raw.select("file_id", "lineno", "raw", group(1).try_cast("int").alias("level"), F.nullif(group(2), F.lit("")).alias("xref"), group(3).alias("tag"), group(4).alias("value"))
-    rows = rows.withColumn("rec_no", F.sum(F.when(F.col("level") == 0, 1).otherwise(0)).over(FILE))
+    rows = rows.withColumn("rec_no", F.sum(F.when(F.col("level") == 0, 1).otherwise(0)).over(by_file()))
     head = F.col("level") == 0
     rows = rows.withColumn("rec_xref", last_in(F.when(head, F.coalesce("xref", F.lit(""))))).withColumn("rec_tag", last_in(F.when(head, F.col("tag"))))
     rows = rows.withColumn("l1_no", last_in(F.when(F.col("level") == 1, F.col("lineno"))))
-    before = RECORD.rowsBetween(W.unboundedPreceding, -1)
+    before = by_record().rowsBetween(W.unboundedPreceding, -1)
     seen = [F.last(F.when(F.col("level") == k, F.col("lineno")), ignorenulls=True).over(before) for k in range(DEEPEST)]
     above = F.greatest(*[F.when(F.col("level") > k, F.col(f"_{k}")) for k in range(DEEPEST)], F.lit(None).cast("long"))
     return rows.select("*", *[s.alias(f"_{k}") for k, s in enumerate(seen)]).withColumn("parent_lineno", above).drop(*[f"_{k}" for k in range(DEEPEST)])
