@@ -36,8 +36,10 @@ def out(lines: DataFrame, raw: Column | None = None, seq: Column | int = 0) -> D
 
 def changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """(sign, file_id, lineno, seq, raw): what a rewrite takes away and brings."""
-    old, keys = out(before), ["file_id", "lineno", "seq", "raw"]
-    return old.join(after, keys, "left_anti").select(F.lit("-").alias("sign"), *keys).unionByName(after.join(old, keys, "left_anti").select(F.lit("+").alias("sign"), *keys))
+    keys = ["file_id", "lineno", "seq", "raw"]
+    both = out(before).withColumn("by", F.lit(-1)).unionByName(after.withColumn("by", F.lit(1)))
+    rows = both.groupBy(*keys).agg(F.sum("by").alias("by")).filter("by <> 0")
+    return rows.select(F.when(V("by") < 0, "-").otherwise("+").alias("sign"), *keys)
 
 
 def change_count(before: DataFrame, after: DataFrame) -> DataFrame:

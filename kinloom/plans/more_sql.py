@@ -136,3 +136,37 @@ GRAPH_SQL = {
     "long_documents": "SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(line) > 255 GROUP BY doc_id",
     "tag_strip": "SELECT page_id, regexp_replace(html, '<[^>]+>', '', 'g') AS text FROM pages",
 }
+
+
+def _parsed(v: str) -> tuple[str, str, str, str]:
+    """Qualifier, year, month and day of a date text."""
+    u = f"upper(trim({v}))"
+    span = r"^(?:BET(?:WEEN)?\s+(.+?)\s+AND|FROM\s+(.+?)\s+TO)\s+(.+)$"
+    simple = r"^(?:(?:(\d{1,2})\s+)?([A-Z]{3})\s+)?(\d{3,4})$"
+    first = f"trim(CASE WHEN regexp_matches({u}, '{span}') THEN regexp_extract({u}, '{span}', 1) || regexp_extract({u}, '{span}', 2) ELSE regexp_replace({u}, '^(FROM|ABT|ABOUT|CAL|EST|BEF|AFT)\\.?\\s+', '') END)"
+    part = lambda k: f"NULLIF(regexp_extract({first}, '{simple}', {k}), '')"
+    month = "list_position([" + ", ".join(f"'{m}'" for m in dates.MONTHS) + f"], {part(2)})"
+    return u, f"TRY_CAST({part(3)} AS INT)", f"NULLIF({month}, 0)", f"TRY_CAST({part(1)} AS INT)"
+
+
+def _unsorted() -> str:
+    _, y, m, d = _parsed("coalesce(date_raw, '')")
+    known = lambda x: f"CASE WHEN {y} IS NULL THEN 0 ELSE coalesce({x}, 0) END"
+    group = "CASE WHEN tag IN ('BIRT', 'CHR', 'BAPM', 'ADOP') THEN 0 WHEN tag IN ('DEAT', 'BURI', 'PROB', 'WILL') THEN 2 ELSE 1 END"
+    key = f"[{group}, coalesce({y}, 9999), {known(m)}, {known(d)}]"
+    return PREFIX + f", e AS (SELECT *, {key} AS key FROM ev), o AS (SELECT *, lag(key) OVER (PARTITION BY file_id, rec_no ORDER BY l1_no) AS prev FROM e) SELECT file_id, min(l1_no) AS lineno, rx AS xref, CAST(count(*) AS VARCHAR) AS detail FROM o WHERE key < prev GROUP BY file_id, rec_no, rx"
+
+
+UNSORTED_SQL = _unsorted()
+_SUB = "SELECT '-' AS sign, l.file_id, l.lineno, CAST(0 AS INT) AS seq, l.raw FROM l JOIN r ON r.file_id = l.file_id AND l.lineno >= r.lineno WHERE l.lineno < coalesce((SELECT min(x.lineno) FROM l x WHERE x.file_id = r.file_id AND x.lineno > r.lineno AND x.level <= r.level), 999999999)"
+#: Blocks that go: r names their first lines.
+FIX_SQL |= {
+    "strip_vendor": PREFIX + f", r AS (SELECT * FROM l WHERE tag IN ({_in('_APID _OID _TID _PID _LKID _MSER _CREA _USER _ORIG _ENCR _ATL _CLON _DATE _PRIM _CROP _LEFT _TOP _WDTH _HGHT _TYPE _WPID _HPID _MTYPE _STYPE _SIZE _DSCR _META _TREE _ENV _MTTAG'.split())})) {_SUB}",
+    "duplicate_citations": PREFIX + f", r AS (SELECT l.* FROM l JOIN (SELECT file_id, lineno FROM (SELECT *, row_number() OVER (PARTITION BY file_id, l1_no, source, children ORDER BY lineno) AS nth FROM cit WHERE l1_no IS NOT NULL AND level > 1) WHERE nth > 1) USING (file_id, lineno)) {_SUB}",
+    "same_source_citations": PREFIX + f", r AS (SELECT l.* FROM l JOIN (SELECT file_id, lineno FROM (SELECT *, row_number() OVER (PARTITION BY file_id, l1_no, source ORDER BY lineno) AS nth FROM cit WHERE l1_no IS NOT NULL AND level > 1) WHERE nth > 1) USING (file_id, lineno)) {_SUB}",
+    "dangling_pointers": PREFIX + f", r AS (SELECT p.* FROM ptr p WHERE p.tag IN ('HUSB', 'WIFE', 'CHIL', 'FAMS', 'FAMC', 'OBJE', 'SOUR', 'REPO') AND NOT EXISTS (SELECT 1 FROM def d WHERE d.file_id = p.file_id AND d.target = p.target AND d.target_tag = CASE WHEN p.tag IN ('HUSB', 'WIFE', 'CHIL') THEN 'INDI' WHEN p.tag IN ('FAMS', 'FAMC') THEN 'FAM' ELSE p.tag END)) {_SUB}",
+    "redundant_pages": PREFIX + f", r AS (SELECT k.file_id, k.lineno, k.level FROM k JOIN cit c ON c.file_id = k.file_id AND c.lineno = k.parent JOIN l t ON t.file_id = c.file_id AND t.rx = c.source AND t.rec_tag = 'SOUR' AND t.level = 1 AND t.tag = 'TITL' WHERE k.tag = 'PAGE' AND t.value <> '' AND regexp_replace(lower(trim(c.page)), 's$', '') = regexp_replace(lower(trim(t.value)), 's$', '')) {_SUB}",
+    "bapm_births": PREFIX + f", b AS (SELECT file_id, rx, min_by(y, l1_no) FILTER (tag IN ('BAPM', 'CHR') AND y IS NOT NULL) AS y FROM (SELECT *, {_Y4} AS y FROM ev WHERE rec_tag = 'INDI') GROUP BY file_id, rec_no, rx HAVING count(*) FILTER (tag IN ('BAPM', 'CHR') AND y IS NOT NULL) > 0 AND NOT bool_or(tag = 'BIRT' AND date_raw IS NOT NULL)), t AS (SELECT b.*, min(l.lineno) AS head, max(l.lineno) FILTER (l.level = 1 AND l.tag = 'BIRT') AS birt FROM b JOIN l ON l.file_id = b.file_id AND l.rx = b.rx AND l.rec_tag = 'INDI' GROUP BY ALL) SELECT '+' AS sign, file_id, head AS lineno, CAST(1 AS INT) AS seq, '1 BIRT' AS raw FROM t WHERE birt IS NULL UNION ALL SELECT '+', file_id, coalesce(birt, head), 2, '2 DATE EST ' || y FROM t",
+    "note_under_addr": _raw("CASE WHEN tag = 'ADDR' AND n_tag = 'NOTE' AND n_level = level + 1 THEN rtrim(level || ' ADDR ' || n_value) WHEN tag = 'NOTE' AND p_tag = 'ADDR' AND level = p_level + 1 THEN rtrim(level || ' CONT ' || p_value) ELSE raw END", source="(SELECT *, lead(value) OVER (PARTITION BY file_id ORDER BY lineno) AS n_value, lag(value) OVER (PARTITION BY file_id ORDER BY lineno) AS p_value FROM l)"),
+    "record_order": PREFIX + ", o AS (SELECT file_id, raw, row_number() OVER (PARTITION BY file_id ORDER BY coalesce(list_position(['HEAD', 'SUBM', 'INDI', 'FAM', 'SOUR', 'REPO', 'OBJE', 'NOTE', '-', 'TRLR'], rec_tag) - 1, 8), rec_no, lineno) AS place FROM l), x AS (SELECT a.file_id, a.lineno, a.raw, o.raw AS n FROM (SELECT file_id, lineno, raw, row_number() OVER (PARTITION BY file_id ORDER BY lineno) AS place FROM l) a JOIN o USING (file_id, place)) " + _BOTH,
+}

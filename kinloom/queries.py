@@ -256,7 +256,7 @@ VIEWS: dict[str, Query] = {
     "delete_person": _lines(lambda x: rewrites.changes(x, rewrites.delete_person(x, "f0", "@I8@"))),
 }
 QUERIES |= {f"fix_{name}": _fix(name) for name in rewrites.FIXES} | VIEWS
-ORACLES |= {f"fix_{name}": sql for name, sql in more_sql.FIX_SQL.items()} | more_sql.GRAPH_SQL | {"dates": more_sql.DATES_SQL}
+ORACLES |= {f"fix_{name}": sql for name, sql in more_sql.FIX_SQL.items()} | more_sql.GRAPH_SQL | {"dates": more_sql.DATES_SQL, "check_unsorted_events": more_sql.UNSORTED_SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
