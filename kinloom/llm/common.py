@@ -2,39 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinloom.staging import staged, work_dir
+
+__all__ = ["BLANKS", "WORD", "bind", "staged", "table", "work_dir"]
+
 #: The six ASCII blanks that separate words, as a Java character class body.
 BLANKS = r"\x20\x09-\x0D"
 WORD = f"[^{BLANKS}]+"
 
 
-def work_dir(spark: SparkSession, tag: str) -> str:
-    """A new folder that the driver and all executors share.
-
-    It lies in ``spark.checkpoint.dir``. Only where that is unset, as in tests, a folder of this
-    machine serves instead.
-    """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = getattr(spark.sparkContext, "_kinloom_dir", None) or "file://" + tempfile.mkdtemp(prefix="kinloom-")
-        spark.sparkContext._kinloom_dir = base
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, tag: str) -> DataFrame:
-    """df, written to the shared folder and read again: later readers don't compute it anew and a lost
-    executor costs no more than its running tasks."""
-    path = work_dir(df.sparkSession, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -42,9 +23,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value computed once however often body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def spread(df: DataFrame, per_core: int = 1) -> DataFrame:
-    """df in as many partitions as there are cores at least, so that small inputs use them all."""
-    n = df.sparkSession.sparkContext.defaultParallelism * per_core
-    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)

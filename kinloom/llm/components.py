@@ -1,47 +1,5 @@
-"""Connected components by alternating large-star and small-star steps, each a pair of aggregations and joins."""
+"""Connected components, as the graph operators make them."""
 
-from __future__ import annotations
+from kinloom.operators.graph import components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from kinloom.llm.common import staged
-
-#: Steps at most; a chain of n nodes takes about the square of log n.
-STEPS = 60
-
-
-def _stars(links: DataFrame, large: bool) -> DataFrame:
-    """links: distinct (a, b) with a > b. Large: each neighbour above a node is linked to the least of the
-    node and its neighbours. Small: each neighbour below a node, and the node, are linked to the least of them.
-
-    The least neighbour is an aggregate, made before the shuffle, and comes back by a join on the node that
-    adaptive execution can split, so that a node with very many neighbours does not fill one task.
-    """
-    if large:
-        both = links.select(F.col("a").alias("node"), F.col("b").alias("near")).union(links.select("b", "a"))
-    else:
-        both = links.select(F.col("a").alias("node"), F.col("b").alias("near"))
-    least = both.groupBy("node").agg(F.min("near").alias("least"))
-    if large:
-        joined = both.join(least, "node").filter("near > node").select(F.col("near").alias("a"), F.least("least", "node").alias("b"))
-    else:
-        joined = both.join(least, "node").select(F.col("near").alias("a"), F.col("least").alias("b")).union(least.select("node", "least"))
-    return joined.filter("a > b").distinct()
-
-
-def components(links: DataFrame) -> DataFrame:
-    """links: (a, b) of ordered ids, in any direction, repeats and loops allowed. A row (node, component) for
-    each node of a link between two nodes; component is the least node that links lead to. Nulls are left out.
-
-    Each step's links are written to the shared folder, which cuts lineage; the driver reads two sums a step.
-    """
-    now = links.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now, last = staged(now, "links"), None
-    state = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-    for _ in range(STEPS):
-        now = staged(_stars(_stars(now, True), False), "links")
-        if (found := state(now)) == last:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
-        last = found
-    raise RuntimeError(f"components did not settle in {STEPS} steps")
+__all__ = ["components"]
