@@ -15,12 +15,12 @@ from kinloom.sources import lineage, synthetic
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-_LINES: dict[tuple[int, str], DataFrame] = {}
+_LINES: dict[tuple[str, int, str], DataFrame] = {}
 
 
 def scan(spark: SparkSession, sf_dir: str) -> checks.Scan:
     """The lines, parsed once for each table folder and session and kept: all rules share one scan."""
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir)
     if key not in _LINES:
         _LINES[key] = lineage.parse_lines(synthetic.raw_lines(spark, sf_dir)).persist()
     return checks.Scan(_LINES[key])
