@@ -27,11 +27,14 @@ SEED = 42
 FILTER_BITS = 1 << 23
 #: Characters whose shingles are hashed at once.
 CHUNK = 1 << 16
+#: Lines that a task remembers, so that equal ones are hashed once; it forgets all of them when they are more.
+SEEN = 200_000
 
 
 def normal(line: Column) -> Column:
     """A line as it is compared: lower case, blanks collapsed."""
-    return F.lower(F.trim(F.regexp_replace(line, r"[\x00-\x20]+", " ")))
+    plain = F.when(line.rlike(r"[\x00-\x1F]|  "), F.regexp_replace(line, r"[\x00-\x20]+", " ")).otherwise(line)
+    return F.lower(F.trim(plain))
 
 
 def _key(line: Column) -> Column:
@@ -93,27 +96,32 @@ def signatures(lines: list[str]) -> np.ndarray:
 
 
 def buckets(lines: DataFrame) -> DataFrame:
-    """lines: (key, line). (bucket, key) for each band of each line."""
+    """lines: (key, line). (bucket, key) for each band of each line; of equal lines that a task meets, one counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            if batch.num_rows:
-                found = signatures(batch.column(1).to_pylist())
-                keys = pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), BANDS))
-                yield pa.RecordBatch.from_arrays([pa.array(found.ravel()), keys], ["bucket", "key"])
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            own, first = np.unique(keys, return_index=True)
+            at = [k for key, k in zip(own.tolist(), first.tolist()) if key not in seen]
+            if len(seen) > SEEN:
+                seen.clear()
+            seen.update(own.tolist())
+            if at:
+                found = signatures(batch.column(1).take(pa.array(at)).to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array(found.ravel()), pa.array(np.repeat(keys[at], BANDS))], ["bucket", "key"])
 
     return lines.select("key", "line").mapInArrow(run, "bucket long, key long")
 
 
 def candidate_pairs(found: DataFrame) -> DataFrame:
-    """found: (bucket, key). Distinct pairs a < b: of each bucket's least key with every other, an aggregate
-    and a join that adaptive execution can split, and of neighbours by key."""
-    found = found.distinct()
-    sized = found.groupBy("bucket").agg(F.min("key").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    many = staged(found.join(sized, "bucket"), "line-buckets")
-    stars = many.filter("key > least").select(F.col("least").alias("a"), F.col("key").alias("b"))
-    before = many.select("bucket", "key", F.lag("key").over(W.partitionBy("bucket").orderBy("key")).alias("a")).filter("a is not null").select("a", F.col("key").alias("b"))
-    return stars.union(before).distinct()
+    """found: (bucket, key), repeats allowed. Distinct pairs a < b: of each bucket's least key with every other, and
+    of neighbours by key. One shuffle by bucket serves both."""
+    order = W.partitionBy("bucket").orderBy("key")
+    least = F.first("key").over(order.rowsBetween(W.unboundedPreceding, 0))
+    rows = found.select("key", least.alias("least"), F.lag("key").over(order).alias("before")).filter("before < key")
+    pair = F.explode(F.array_distinct(F.array("least", "before"))).alias("a")
+    return rows.select(pair, F.col("key").alias("b")).distinct()
 
 
 def _filter(keys: DataFrame) -> bytes:
