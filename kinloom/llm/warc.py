@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinloom.llm.common import bind, work_dir
@@ -35,15 +36,45 @@ def base32_sha1(payload: Column) -> Column:
     return bind(F.sha1(payload), lambda h: F.concat(*[forty(h, k) for k in range(4)]))
 
 
-def _records(pages: DataFrame) -> DataFrame:
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    rows = rows.select("*", F.sha2("html", 256).alias("digest"), F.monotonically_increasing_id().alias("row"))
-    first = rows.groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row")).alias("first"))
-    return rows.join(first, "digest").select("*", (F.col("row") == F.col("first")["row"]).alias("own"), F.col("first")["page_id"].alias("of"), F.col("first")["row"].alias("of_row"))
-
+def _records(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The responses, with html, and the revisits, without: page_id, url, digest, sha1, size, nth, of, of_url.
 
-def _urn(page: Column, row: Column) -> Column:
-    return F.concat(F.lit("<urn:kinloom:page:"), F.coalesce(page.cast("string"), F.lit("none")), F.lit(":"), row.cast("string"), F.lit(">"))
+    The smallest page of each payload and how often each row repeats are narrow aggregates. Html is shuffled once,
+    by payload and page, so that a payload that very many pages share is dealt over their ids; of repeated rows
+    there, one is the response. No row needs a number that a lost task could give anew.
+    """
+    place = F.xxhash64(F.col("page_id").isNull(), "page_id", F.col("url").isNull(), "url").alias("place")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
+    rows = rows.select("page_id", "url", "html", F.sha2("html", 256).alias("digest"), place)
+    facts = [base32_sha1(F.col("html")).alias("sha1"), F.octet_length("html").alias("size")]
+    same = rows.select("page_id", "url", "digest", "place", *facts).groupBy("digest", "place", "page_id", "url", "sha1", "size").agg(F.count("*").alias("n"))
+    first = same.groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", F.col("url").isNull().alias("bare"), "url", "place")).alias("first"))
+    first = first.select("digest", F.col("first.page_id").alias("of"), F.col("first.url").alias("of_url"), F.col("first.place").alias("of_place"))
+    own = F.col("page_id").eqNullSafe(F.col("of")) & F.col("url").eqNullSafe(F.col("of_url"))
+    many = same.join(first, "digest").withColumn("left", F.col("n") - F.when(own, 1).otherwise(0)).filter("left > 0")
+    many = many.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("left").cast("int"))))
+    kept = rows.join(first.select("digest", F.col("of_place").alias("place"), "of", "of_url"), ["digest", "place"]).filter(own)
+    kept = kept.withColumn("again", F.row_number().over(W.partitionBy("digest", "place").orderBy("digest", "place"))).filter("again = 1")
+    columns = ["page_id", "url", "digest", "sha1", "size", "nth", "of", "of_url"]
+    return kept.select("*", *facts, F.lit(0).alias("nth")).select(*columns, "html"), many.select(*columns)
+
+
+def _urn(page: Column, url: Column, nth: Column) -> Column:
+    """The record's name: its page, its number among repeated rows, and what its page and address hash to."""
+    more = F.concat_ws(":", nth.cast("string"), F.lower(F.hex(F.xxhash64(url))), F.substring("digest", 1, 16))
+    return F.concat(F.lit("<urn:kinloom:page:"), F.coalesce(page.cast("string"), F.lit("none")), F.lit(":"), more, F.lit(">"))
+
+
+def _head(kind: str, http: Column, length: Column) -> Column:
+    """A record's header, with the blank line after it."""
+    line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(BREAK))
+    refers = F.concat(line("WARC-Refers-To", _urn(F.col("of"), F.col("of_url"), F.lit(0))), F.lit(f"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{BREAK}"))
+    return F.concat(
+        F.lit(f"WARC/1.1{BREAK}WARC-Type: {kind}{BREAK}"), line("WARC-Record-ID", _urn(F.col("page_id"), F.col("url"), F.col("nth"))),
+        F.coalesce(line("WARC-Target-URI", F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20")), F.lit("")), line("WARC-Date", F.lit("1970-01-01T00:00:00Z")),
+        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))), line("X-Payload-SHA256", F.col("digest")), refers if kind == "revisit" else F.lit(""),
+        F.lit("Content-Type: application/http; msgtype=response" + BREAK), line("Content-Length", (F.octet_length(http) + length).cast("string")), F.lit(BREAK),
+    )
 
 
 def write_archive(pages: DataFrame, path: str, file_rows: int = FILE_ROWS) -> None:
@@ -52,21 +83,10 @@ def write_archive(pages: DataFrame, path: str, file_rows: int = FILE_ROWS) -> No
     Null html counts as empty, and empty payloads are records like others; a null url gives no target header;
     a null page_id comes after all others. Of repeated rows with the smallest id, one is the response.
     """
-    rows = _records(pages)
-    size = F.octet_length("html")
-    http = F.concat(F.lit(f"HTTP/1.1 200 OK{BREAK}Content-Type: text/html; charset=utf-8{BREAK}Content-Length: "), size.cast("string"), F.lit(2 * BREAK))
-    line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(BREAK))
-    rows = rows.withColumn("http", http)
-    length = F.octet_length("http") + F.when(F.col("own"), size).otherwise(0)
-    header = F.concat(
-        F.lit("WARC/1.1" + BREAK), line("WARC-Type", F.when(F.col("own"), "response").otherwise("revisit")), line("WARC-Record-ID", _urn(F.col("page_id"), F.col("row"))),
-        F.coalesce(line("WARC-Target-URI", F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20")), F.lit("")), line("WARC-Date", F.lit("1970-01-01T00:00:00Z")),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32_sha1(F.col("html")))), line("X-Payload-SHA256", F.col("digest")),
-        F.when(F.col("own"), F.lit("")).otherwise(F.concat(line("WARC-Refers-To", _urn(F.col("of"), F.col("of_row"))), F.lit(f"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{BREAK}"))),
-        F.lit("Content-Type: application/http; msgtype=response" + BREAK), line("Content-Length", length.cast("string")), F.lit(BREAK),
-    )
-    record = F.concat(header, F.col("http"), F.when(F.col("own"), F.col("html")).otherwise(F.lit("")))
-    writer = rows.select(record.alias("value")).write.option("lineSep", 2 * BREAK).option("compression", "gzip")
+    responses, revisits = _records(pages)
+    http = F.concat(F.lit(f"HTTP/1.1 200 OK{BREAK}Content-Type: text/html; charset=utf-8{BREAK}Content-Length: "), F.col("size").cast("string"), F.lit(2 * BREAK))
+    records = responses.select(F.concat(_head("response", http, F.col("size")), http, "html").alias("value")).unionByName(revisits.select(F.concat(_head("revisit", http, F.lit(0)), http).alias("value")))
+    writer = records.write.option("lineSep", 2 * BREAK).option("compression", "gzip")
     writer.option("maxRecordsPerFile", file_rows).text(path)
 
 
