@@ -2,7 +2,8 @@
 
 A line's signature has the least hashes of its character shingles; signatures are cut into bands, and lines
 that share a band's values meet in a bucket. There each line is paired with the bucket's least line and with
-the one before it, never with all. Pairs whose exact Jaccard similarity over shingles reaches the threshold are
+the one before it first; buckets whose lines are not in one component by then are walked, so that no pair of a
+bucket is left out. Pairs whose exact Jaccard similarity over shingles reaches the threshold are
 links; of each component, and of each set of equal lines, the first line in document order stays.
 """
 
@@ -29,6 +30,8 @@ FILTER_BITS = 1 << 23
 CHUNK = 1 << 16
 #: Lines that a task remembers, so that equal ones are hashed once; it forgets all of them when they are more.
 SEEN = 200_000
+#: Lines and characters of a block; a bucket of more is walked by pairs of blocks.
+BLOCK, BLOCK_CHARS = 2_000, 1 << 19
 
 
 def normal(line: Column) -> Column:
@@ -114,14 +117,18 @@ def buckets(lines: DataFrame) -> DataFrame:
     return lines.select("key", "line").mapInArrow(run, "bucket long, key long")
 
 
-def candidate_pairs(found: DataFrame) -> DataFrame:
-    """found: (bucket, key), repeats allowed. Distinct pairs a < b: of each bucket's least key with every other, and
-    of neighbours by key. One shuffle by bucket serves both."""
+def meetings(found: DataFrame) -> DataFrame:
+    """found: (bucket, key), repeats allowed. (bucket, key, least, before) for each key but the least of a bucket:
+    the bucket's least key and the key before. One shuffle by bucket serves both."""
     order = W.partitionBy("bucket").orderBy("key")
     least = F.first("key").over(order.rowsBetween(W.unboundedPreceding, 0))
-    rows = found.select("key", least.alias("least"), F.lag("key").over(order).alias("before")).filter("before < key")
+    return found.select("bucket", "key", least.alias("least"), F.lag("key").over(order).alias("before")).filter("before < key")
+
+
+def candidate_pairs(met: DataFrame) -> DataFrame:
+    """Distinct pairs a < b of what meets: of each bucket's least key with every other, and of neighbours by key."""
     pair = F.explode(F.array_distinct(F.array("least", "before"))).alias("a")
-    return rows.select(pair, F.col("key").alias("b")).distinct()
+    return met.select(pair, F.col("key").alias("b")).distinct()
 
 
 def _filter(keys: DataFrame) -> bytes:
@@ -169,21 +176,91 @@ def similar(pairs: DataFrame, similarity: float = SIMILAR) -> DataFrame:
     return pairs.select("a", "b", "line_a", "line_b").mapInArrow(run, "a long, b long")
 
 
-def links(lines: DataFrame, similarity: float = SIMILAR) -> DataFrame:
-    """lines: (key, line), none empty, repeats allowed. Links (a, b) between keys of lines that are alike."""
-    pairs = staged(candidate_pairs(buckets(lines)), "line-pairs")
+def _walk(keys: np.ndarray, parts: np.ndarray, lines: list[str], similarity: float) -> list[tuple[int, int]]:
+    """Links between lines of different parts that connect all parts with a pair alike. Small parts are walked
+    first, each line against those not reached yet, whose shared shingles are counted at once."""
+    numbers: dict[str, int] = {}
+    sets = [np.fromiter((numbers.setdefault(x, len(numbers)) for x in shingle_set(line)), np.int64) for line in lines]
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    shingles, owners = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    owners = owners[np.argsort(shingles, kind="stable")]
+    starts = np.concatenate([[0], np.cumsum(np.bincount(shingles, minlength=len(numbers)))])
+    _, part, members = np.unique(parts, return_inverse=True, return_counts=True)
+    of = [[] for _ in members]
+    for k, p in enumerate(part.tolist()):
+        of[p].append(k)
+    left, reached = np.ones(len(sets), bool), np.zeros(len(members), bool)
+    links: list[tuple[int, int]] = []
+    for start in np.argsort(members, kind="stable").tolist():
+        if reached[start]:
+            continue
+        reached[start], queue = True, list(of[start])
+        left[of[start]] = False
+        while queue and left.any():
+            at = queue.pop()
+            both = np.bincount(np.concatenate([owners[starts[x] : starts[x + 1]] for x in sets[at].tolist()]), minlength=len(sets))
+            for k in np.flatnonzero(left & (both >= similarity * (sizes + sizes[at] - both))).tolist():
+                if not reached[part[k]]:
+                    reached[part[k]] = True
+                    left[of[part[k]]] = False
+                    queue += of[part[k]]
+                    links.append((int(keys[at]), int(keys[k])))
+    return links
+
+
+def missed_links(met: DataFrame, found: DataFrame, texts: DataFrame, similarity: float = SIMILAR) -> DataFrame:
+    """met: what meets; found: (node, component) so far; texts: (key, line). Links (a, b) between components whose
+    lines share a bucket, as many as connect them. Buckets of one component or of one pair have nothing left to
+    find, and of buckets with the same keys one counts."""
+    rows = met.select("bucket", "key").union(met.select("bucket", "least").distinct())
+    chars = texts.select(F.col("key").alias("node"), F.char_length("line").alias("chars")).join(found, "node", "left").select("node", "chars", F.coalesce("component", "node").alias("part"))
+    rows = rows.join(chars, rows["key"] == chars["node"]).select("bucket", "key", "part", "chars")
+    same = [F.bit_xor(F.xxhash64("key")).alias("x"), F.min("key").alias("low"), F.max("key").alias("high")]
+    open_ = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), (F.min("part") < F.max("part")).alias("open"), *same).filter("open and n > 2")
+    open_ = open_.groupBy("n", "x", "low", "high").agg(F.min(F.struct("bucket", "chars")).alias("b"))
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("b.chars") / BLOCK_CHARS)).cast("int")
+    open_ = staged(open_.select("b.bucket", blocks.alias("blocks")), "line-open")
+    rows = rows.join(open_, "bucket").withColumn("block", F.pmod(F.xxhash64("key", F.lit(SEED)), F.col("blocks")).cast("int"))
+    # a block meets each of the others, or itself if it is the only one
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: (k != F.col("block")) | (F.col("blocks") == 1))
+    rows = rows.select("bucket", "key", "part", "block", F.explode(others).alias("other"))
+    rows = rows.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key", "part").join(texts, "key")
+
+    def run(group: pa.Table) -> pa.Table:
+        at = lambda c: group.column(c).to_numpy()
+        pairs = _walk(at("key"), at("part"), group.column("line").to_pylist(), similarity) if len(np.unique(at("part"))) > 1 else []
+        a, b = zip(*pairs) if pairs else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return rows.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def families(lines: DataFrame, similarity: float = SIMILAR) -> DataFrame:
+    """lines: (key, line), none empty, repeats allowed. (node, component) for each key that has a link: keys of lines
+    that share a bucket and are alike."""
+    met = staged(meetings(buckets(lines)), "line-buckets")
+    pairs = staged(candidate_pairs(met), "line-pairs")
     keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b"))
     texts = lines.filter(_maybe(F.col("key"), _filter(keys), lines.sparkSession)).groupBy("key").agg(F.max("line").alias("line"))
     texts = staged(texts, "line-texts")
     both = pairs.join(texts.select(F.col("key").alias("a"), F.col("line").alias("line_a")), "a").join(texts.select(F.col("key").alias("b"), F.col("line").alias("line_b")), "b")
-    return similar(both, similarity)
+    found = staged(components(similar(both, similarity)), "line-components")
+    more = staged(missed_links(met, found, texts, similarity), "line-missed")
+    if not more.head(1):
+        return found
+    # links between components are few: they are joined as components, not line by line
+    to = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part"))
+    over = more.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("a_part", "a").alias("a"), F.coalesce("b_part", "b").alias("b"))
+    over = staged(components(over), "line-families").select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    joined = found.join(over, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
+    return joined.union(over.select("component", "whole")).distinct()
 
 
 def decisions(docs: DataFrame, similarity: float = SIMILAR) -> DataFrame:
     """docs: (doc_id, text). For each line that goes: doc, tie, line_no."""
     lines = exploded(docs).filter("line != ''")
     keyed = lines.select(_key(F.col("line")).alias("key"), "line")
-    found = staged(components(links(keyed, similarity)), "line-components")
+    found = staged(families(keyed, similarity), "line-families")
     # a second hash tells lines apart that share a key: those never go in the other's favour
     places = staged(lines.select("doc", "tie", "line_no", _key(F.col("line")).alias("key"), F.xxhash64(F.concat(F.lit("#"), "line")).alias("check")), "line-places")
     first = places.groupBy("key").agg(F.min(F.struct("doc", "tie", "line_no", "check")).alias("first"))

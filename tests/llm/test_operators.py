@@ -129,6 +129,37 @@ def test_line_dedup_against_all_pairs(spark):
     assert got[None] is None and got[900] == ""
 
 
+def test_line_dedup_of_stars_and_mixed_families(spark, monkeypatch):
+    monkeypatch.setattr(lines, "BLOCK", 150)
+    rng = np.random.default_rng(11)
+    vocabulary = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(300)]
+    data = []
+    for _ in range(2):
+        template = rng.choice(vocabulary, 32).tolist()
+        data.append(" ".join(template))
+        data += [" ".join([*template[:k], "".join(rng.choice(list("ijkl"), 6)), *template[k + 1 :]]) for k in (n % 32 for n in range(400))]
+    rows = [(k + 1, x) for k, x in enumerate(data)]
+    got = {r.node - 1: r.component - 1 for r in lines.families(spark.createDataFrame(rows, "key long, line string").repartition(3)).collect()}
+    numbers = lines.signatures(data)
+    met = {}
+    for k, row in enumerate(numbers.tolist()):
+        for bucket in row:
+            met.setdefault(bucket, []).append(k)
+    parent, sets = list(range(len(data))), [lines.shingle_set(x) for x in data]
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for keys in met.values():
+        for i, a in enumerate(keys):
+            for b in keys[:i]:
+                if root(a) != root(b) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                    parent[max(root(a), root(b))] = min(root(a), root(b))
+    assert [got.get(k, k) for k in range(len(data))] == [root(k) for k in range(len(data))]
+
+
 def test_line_dedup_keeps_columns_and_takes_awkward_rows(docs, empty):
     out = lines.deduplicated(docs)
     assert out.columns == docs.columns and out.count() == docs.count() and lines.deduplicated(empty).count() == 0
