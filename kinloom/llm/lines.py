@@ -131,9 +131,14 @@ def candidate_pairs(met: DataFrame) -> DataFrame:
     return met.select(pair, F.col("key").alias("b")).distinct()
 
 
+def _bit(key: Column) -> Column:
+    """A key's bit, from one on: the bitmap functions count bit zero to a bucket of its own."""
+    return F.pmod(key, F.lit(FILTER_BITS)) + 1
+
+
 def _filter(keys: DataFrame) -> bytes:
     """A bit for each key modulo FILTER_BITS, of fixed size however many keys there are."""
-    bit = F.pmod("key", F.lit(FILTER_BITS))
+    bit = _bit(F.col("key"))
     rows = keys.groupBy(F.bitmap_bucket_number(bit).alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
     out = bytearray(FILTER_BITS // 8 + 8192)
     for n, bits in rows:
@@ -145,7 +150,7 @@ def _filter(keys: DataFrame) -> bytes:
 def _maybe(key: Column, bits: bytes, spark) -> Column:
     """Whether the filter has the key's bit, for a few thousand wide rows at a time."""
     shared = spark.sparkContext.broadcast(np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little"))
-    bit = F.pmod(key, F.lit(FILTER_BITS))
+    bit = _bit(key)
     at = (F.bitmap_bucket_number(bit) - 1) * 32768 + F.bitmap_bit_position(bit)
 
     @F.pandas_udf("boolean")

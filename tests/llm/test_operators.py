@@ -160,6 +160,15 @@ def test_line_dedup_of_stars_and_mixed_families(spark, monkeypatch):
     assert [got.get(k, k) for k in range(len(data))] == [root(k) for k in range(len(data))]
 
 
+def test_line_filter_has_the_keys_at_its_ends(spark):
+    size = lines.FILTER_BITS
+    keys = spark.createDataFrame([(k,) for k in (0, size, 32768, size - 1, -3 * size)], "key long")
+    bits = lines._filter(keys)
+    asked = spark.createDataFrame([(k,) for k in (0, 7 * size, 32768, 32769, 32767, 1, -1, -2)], "key long")
+    got = {r.key: r.has for r in asked.select("key", lines._maybe(F.col("key"), bits, spark).alias("has")).collect()}
+    assert got == {0: True, 7 * size: True, 32768: True, 32769: False, 32767: False, 1: False, -1: True, -2: False}
+
+
 def test_line_dedup_keeps_columns_and_takes_awkward_rows(docs, empty):
     out = lines.deduplicated(docs)
     assert out.columns == docs.columns and out.count() == docs.count() and lines.deduplicated(empty).count() == 0
