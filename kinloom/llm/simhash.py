@@ -60,17 +60,22 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(counts * 2 > len(hashes)).view(">u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """docs: (doc_id, text); other columns are ignored. (doc_id, fp), fp as a signed 64-bit integer. Null text
-    counts as empty, and texts without words have 0."""
+def _fingerprinted(docs: DataFrame, *more: str) -> DataFrame:
+    """docs: (doc_id, text) and more, which are longs. (doc_id, more, fp)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.fromiter((fingerprint(shingle_hashes(t)) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            found = np.fromiter((fingerprint(shingle_hashes(t)) for t in batch.column(0).to_pylist()), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found.view(np.int64))], ["doc_id", *more, "fp"])
+
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").cast("long").alias("doc_id"), *more)
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", *more, "fp")))
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """docs: (doc_id, text); other columns are ignored. (doc_id, fp), fp as a signed 64-bit integer. Null text
+    counts as empty, and texts without words have 0."""
+    return _fingerprinted(docs)
 
 
 def _forest(fps: np.ndarray, table: np.ndarray) -> list[tuple[int, int]]:
@@ -156,9 +161,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs without all but one document of each component: that with the smallest doc_id (null after all
-    others), and among rows with one id that with the smallest hash of its text; of repeated rows, one."""
-    found = near_duplicates(docs).groupBy("doc_id").agg(F.min("component_id").alias("_component"))
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("_component"))).select(F.col("doc_id").alias("_kept"))
-    rows = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept"))).drop("_kept")
-    order = W.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return rows.withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").drop("_nth")
+    others), and among rows with one id that with the smallest hash of its text; of repeated rows, one. Different
+    texts that share an id, or have none, are documents of their own: each counts in its text's component."""
+    tie = F.xxhash64("text")
+    rows = staged(_fingerprinted(docs.select("doc_id", "text", tie.alias("tie")), "tie"), "simhash")
+    found = components(links(rows.select("fp").distinct()))
+    first = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("first"))
+    named = first.join(found, first["fp"] == found["node"], "left").select("first", F.coalesce("component", "fp").alias("component"))
+    kept = named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_kept"), F.col("first.tie").alias("_tie"))
+    out = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")) & (tie == F.col("_tie")))
+    order = W.partitionBy("_kept", "_tie").orderBy("_tie")
+    return out.withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").select(*docs.columns)

@@ -246,6 +246,16 @@ def test_simhash_components_against_all_pairs(spark):
     assert classes([(r.a, r.b) for r in got]) == classes(want) and all(((r.a ^ r.b) & ((1 << 64) - 1)).bit_count() <= 4 for r in got)
 
 
+def test_simhash_keeps_one_of_each_component_whatever_the_ids(spark):
+    rng = np.random.default_rng(4)
+    texts = [" ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(40)) for _ in range(7)]
+    data = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (None, texts[2]), (1, texts[2]), (5, texts[2]), (5, texts[3]), (6, texts[3]), (7, texts[4]), (7, texts[5]), (2, texts[6])]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(data)], "doc_id long, text string, n long").repartition(3)
+    got = simhash.one_of_each(df)
+    want = [(None, texts[0]), (None, texts[1]), (1, texts[2]), (5, texts[3]), (7, texts[4]), (7, texts[5]), (2, texts[6])]
+    assert got.columns == df.columns and sorted(((r.doc_id or 0), r.text) for r in got.collect()) == sorted(((i or 0), t) for i, t in want)
+
+
 def test_simhash_of_awkward_rows(docs, empty):
     got = {r.doc_id: r for r in simhash.near_duplicates(docs).collect()}
     assert {got[k].component_id for k in (4, 5, 6)} == {4} and got[4].fingerprint == "0" * 16 and got[1].component_id == got[2].component_id == 1
