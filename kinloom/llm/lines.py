@@ -9,7 +9,7 @@ links; of each component, and of each set of equal lines, the first line in docu
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -90,7 +90,12 @@ def signatures(lines: list[str]) -> np.ndarray:
         for k in range(BANDS * HASHES):
             out[start:stop, k] = np.minimum.reduceat((h ^ _FLIP[k]) * _TIMES[k], firsts)
         start = stop
-    wide = out.reshape(len(lines), BANDS, HASHES).astype(np.uint64)
+    return banded(out)
+
+
+def banded(least: np.ndarray) -> np.ndarray:
+    """The bucket numbers of each row's bands. least: (rows, BANDS * HASHES), the least values of a row's hashes."""
+    wide = least.reshape(len(least), BANDS, HASHES).astype(np.uint64)
     bucket = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93), wide.shape[:2]).copy()
     for k in range(HASHES):
         bucket = (bucket ^ wide[:, :, k]) * np.uint64(0x9E3779B97F4A7C15)
@@ -98,7 +103,12 @@ def signatures(lines: list[str]) -> np.ndarray:
     return bucket.view(np.int64)
 
 
-def buckets(lines: DataFrame) -> DataFrame:
+def least_hashes(hashes: np.ndarray) -> np.ndarray:
+    """The least values, BANDS * HASHES of them, of 32-bit hashes, of which there is one at least."""
+    return np.array([((hashes ^ f) * t).min() for f, t in zip(_FLIP, _TIMES)], np.uint32)
+
+
+def buckets(lines: DataFrame, signed: Callable[[list[str]], np.ndarray] = signatures) -> DataFrame:
     """lines: (key, line). (bucket, key) for each band of each line; of equal lines that a task meets, one counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +121,7 @@ def buckets(lines: DataFrame) -> DataFrame:
                 seen.clear()
             seen.update(own.tolist())
             if at:
-                found = signatures(batch.column(1).take(pa.array(at)).to_pylist())
+                found = signed(batch.column(1).take(pa.array(at)).to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array(found.ravel()), pa.array(np.repeat(keys[at], BANDS))], ["bucket", "key"])
 
     return lines.select("key", "line").mapInArrow(run, "bucket long, key long")
@@ -162,7 +172,7 @@ def _maybe(key: Column, bits: bytes, spark) -> Column:
     return has(at)
 
 
-def similar(pairs: DataFrame, similarity: float = SIMILAR) -> DataFrame:
+def similar(pairs: DataFrame, similarity: float = SIMILAR, shingles: Callable[[str], set] = shingle_set) -> DataFrame:
     """pairs: (a, b, line_a, line_b). The (a, b) whose exact Jaccard similarity over shingles is enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,8 +181,8 @@ def similar(pairs: DataFrame, similarity: float = SIMILAR) -> DataFrame:
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 if x != last:
-                    last, own = x, shingle_set(x)
-                other = shingle_set(y)
+                    last, own = x, shingles(x)
+                other = shingles(y)
                 low, high = sorted((len(own), len(other)))
                 both = len(own & other) if low >= similarity * high else 0
                 keep.append(both >= similarity * (low + high - both))
@@ -181,15 +191,15 @@ def similar(pairs: DataFrame, similarity: float = SIMILAR) -> DataFrame:
     return pairs.select("a", "b", "line_a", "line_b").mapInArrow(run, "a long, b long")
 
 
-def _walk(keys: np.ndarray, parts: np.ndarray, lines: list[str], similarity: float) -> list[tuple[int, int]]:
+def _walk(keys: np.ndarray, parts: np.ndarray, lines: list[str], similarity: float, shingles: Callable[[str], set]) -> list[tuple[int, int]]:
     """Links between lines of different parts that connect all parts with a pair alike. Small parts are walked
     first, each line against those not reached yet, whose shared shingles are counted at once."""
     numbers: dict[str, int] = {}
-    sets = [np.fromiter((numbers.setdefault(x, len(numbers)) for x in shingle_set(line)), np.int64) for line in lines]
+    sets = [np.fromiter((numbers.setdefault(x, len(numbers)) for x in shingles(line)), np.int64) for line in lines]
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    shingles, owners = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-    owners = owners[np.argsort(shingles, kind="stable")]
-    starts = np.concatenate([[0], np.cumsum(np.bincount(shingles, minlength=len(numbers)))])
+    every, owners = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    owners = owners[np.argsort(every, kind="stable")]
+    starts = np.concatenate([[0], np.cumsum(np.bincount(every, minlength=len(numbers)))])
     _, part, members = np.unique(parts, return_inverse=True, return_counts=True)
     of = [[] for _ in members]
     for k, p in enumerate(part.tolist()):
@@ -213,7 +223,7 @@ def _walk(keys: np.ndarray, parts: np.ndarray, lines: list[str], similarity: flo
     return links
 
 
-def missed_links(met: DataFrame, found: DataFrame, texts: DataFrame, similarity: float = SIMILAR) -> DataFrame:
+def missed_links(met: DataFrame, found: DataFrame, texts: DataFrame, similarity: float = SIMILAR, shingles: Callable[[str], set] = shingle_set) -> DataFrame:
     """met: what meets; found: (node, component) so far; texts: (key, line). Links (a, b) between components whose
     lines share a bucket, as many as connect them. Buckets of one component or of one pair have nothing left to
     find, and of buckets with the same keys one counts."""
@@ -233,24 +243,24 @@ def missed_links(met: DataFrame, found: DataFrame, texts: DataFrame, similarity:
 
     def run(group: pa.Table) -> pa.Table:
         at = lambda c: group.column(c).to_numpy()
-        pairs = _walk(at("key"), at("part"), group.column("line").to_pylist(), similarity) if len(np.unique(at("part"))) > 1 else []
+        pairs = _walk(at("key"), at("part"), group.column("line").to_pylist(), similarity, shingles) if len(np.unique(at("part"))) > 1 else []
         a, b = zip(*pairs) if pairs else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return rows.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def families(lines: DataFrame, similarity: float = SIMILAR) -> DataFrame:
+def families(lines: DataFrame, similarity: float = SIMILAR, shingles: Callable[[str], set] = shingle_set, signed: Callable[[list[str]], np.ndarray] = signatures) -> DataFrame:
     """lines: (key, line), none empty, repeats allowed. (node, component) for each key that has a link: keys of lines
     that share a bucket and are alike."""
-    met = staged(meetings(buckets(lines)), "line-buckets")
+    met = staged(meetings(buckets(lines, signed)), "line-buckets")
     pairs = staged(candidate_pairs(met), "line-pairs")
     keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b"))
     texts = lines.filter(_maybe(F.col("key"), _filter(keys), lines.sparkSession)).groupBy("key").agg(F.max("line").alias("line"))
     texts = staged(texts, "line-texts")
     both = pairs.join(texts.select(F.col("key").alias("a"), F.col("line").alias("line_a")), "a").join(texts.select(F.col("key").alias("b"), F.col("line").alias("line_b")), "b")
-    found = staged(components(similar(both, similarity)), "line-components")
-    more = staged(missed_links(met, found, texts, similarity), "line-missed")
+    found = staged(components(similar(both, similarity, shingles)), "line-components")
+    more = staged(missed_links(met, found, texts, similarity, shingles), "line-missed")
     if not more.head(1):
         return found
     # links between components are few: they are joined as components, not line by line

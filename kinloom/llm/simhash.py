@@ -22,10 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kinloom.llm import lines
 from kinloom.llm.common import staged
 from kinloom.llm.components import components
 
 SHINGLE, SEED, LIMIT, SPARE, PIVOTS = 4, 42, 4, 2, 16
+#: Words of a shingle and similarity of documents that one_of_each takes for near copies besides.
+NEAR_SHINGLE, NEAR = 5, 0.8
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 16
 
@@ -35,8 +38,8 @@ def pivots(n: int = PIVOTS) -> np.ndarray:
     return np.random.default_rng(SEED).integers(0, 1 << 64, n, dtype=np.uint64, endpoint=False)
 
 
-def shingle_hashes(text: str) -> np.ndarray:
-    """XXH64 of each run of SHINGLE words, A-Z lower-cased; fewer words make one shingle, none make none."""
+def shingle_hashes(text: str, size: int = SHINGLE) -> np.ndarray:
+    """XXH64 of each run of size words, A-Z lower-cased; fewer words make one shingle, none make none."""
     import xxhash
 
     words = text.encode().lower().split()
@@ -45,7 +48,7 @@ def shingle_hashes(text: str) -> np.ndarray:
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    k = min(SHINGLE, len(words))
+    k = min(size, len(words))
     last = ends[k - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
     return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), last)), np.uint64, len(last))
@@ -159,13 +162,37 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def word_shingles(text: str) -> set[bytes]:
+    """Runs of NEAR_SHINGLE words, A-Z lower-cased; fewer words make one."""
+    words = text.encode().lower().split()
+    return {b" ".join(words[k : k + NEAR_SHINGLE]) for k in range(max(1, len(words) - NEAR_SHINGLE + 1))}
+
+
+def word_signatures(texts: list[str]) -> np.ndarray:
+    """The bucket numbers of each text's bands. Texts have words."""
+    return lines.banded(np.array([lines.least_hashes((shingle_hashes(t, NEAR_SHINGLE) >> np.uint64(32)).astype(np.uint32)) for t in texts]))
+
+
+def near_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """docs: (text); rows: (tie, fp), tie the text's xxhash64. Links (a, b) of fingerprints whose texts have an exact
+    Jaccard similarity of NEAR or more over shingles and share a MinHash band, as many as connect them."""
+    texts = docs.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(F.xxhash64("text").alias("key"), F.col("text").alias("line"))
+    found = lines.families(texts, NEAR, word_shingles, word_signatures)
+    of = rows.select("tie", "fp").distinct()
+    to = lambda c: of.select(F.col("tie").alias(c), F.col("fp").alias(f"{c}_fp"))
+    return found.join(to("node"), "node").join(to("component"), "component").select(F.col("node_fp").alias("a"), F.col("component_fp").alias("b")).distinct()
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs without all but one document of each component: that with the smallest doc_id (null after all
     others), and among rows with one id that with the smallest hash of its text; of repeated rows, one. Different
-    texts that share an id, or have none, are documents of their own: each counts in its text's component."""
+    texts that share an id, or have none, are documents of their own: each counts in its text's component.
+
+    Linked are documents whose fingerprints differ in LIMIT bits or fewer, as in near_duplicates, and those whose
+    shingles of NEAR_SHINGLE words are alike."""
     tie = F.xxhash64("text")
     rows = staged(_fingerprinted(docs.select("doc_id", "text", tie.alias("tie")), "tie"), "simhash")
-    found = components(links(rows.select("fp").distinct()))
+    found = components(links(rows.select("fp").distinct()).union(near_links(docs, rows)))
     first = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("first"))
     named = first.join(found, first["fp"] == found["node"], "left").select("first", F.coalesce("component", "fp").alias("component"))
     kept = named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_kept"), F.col("first.tie").alias("_tie"))

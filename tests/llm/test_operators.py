@@ -256,6 +256,25 @@ def test_simhash_keeps_one_of_each_component_whatever_the_ids(spark):
     assert got.columns == df.columns and sorted(((r.doc_id or 0), r.text) for r in got.collect()) == sorted(((i or 0), t) for i, t in want)
 
 
+def test_near_copies_of_five_word_shingles_go(spark):
+    rng = np.random.default_rng(6)
+    data = []
+    for k in range(30):
+        text = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(70)]
+        copy, other = list(text), list(text)
+        copy[30] = "changed"
+        for at in (5, 20, 35, 50, 65):
+            other[at] = "changed"
+        data += [(3 * k, " ".join(text)), (3 * k + 1, "  ".join(copy).upper()), (3 * k + 2, " ".join(other))]
+    sets = [simhash.word_shingles(x) for _, x in data]
+    fps = [simhash.fingerprint(simhash.shingle_hashes(x)) for _, x in data]
+    assert sum((fps[3 * k] ^ fps[3 * k + 1]).bit_count() > simhash.LIMIT for k in range(30)) > 20
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) or (fps[a] ^ fps[b]).bit_count() <= simhash.LIMIT
+    want = {a for a in range(len(data)) if not any(alike(a, b) for b in range(a))}
+    got = simhash.one_of_each(spark.createDataFrame([*data, (900, None), (901, " ")], "doc_id long, text string").repartition(3))
+    assert {r.doc_id for r in got.collect()} == want | {900}
+
+
 def test_simhash_of_awkward_rows(docs, empty):
     got = {r.doc_id: r for r in simhash.near_duplicates(docs).collect()}
     assert {got[k].component_id for k in (4, 5, 6)} == {4} and got[4].fingerprint == "0" * 16 and got[1].component_id == got[2].component_id == 1
