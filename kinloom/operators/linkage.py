@@ -14,12 +14,60 @@ V = F.col
 PERSON = {"surname": 0.20, "given": 0.20, "birth": 0.20, "death": 0.10, "sex": 0.05, "family": 0.25}
 SOURCE = {"title": 0.60, "author": 0.15, "publisher": 0.10, "years": 0.10, "repo": 0.05}
 AUTO, REVIEW, AUTO_SOURCE, REVIEW_SOURCE = 0.75, 0.50, 0.90, 0.85
-#: A few of the given names that stand for each other.
-ALIASES = {
-    "mary": "mary maria marie", "anna": "anna anne ann ana", "john": "john ioannis yiannis jean juan giovanni johannes", "helen": "helen eleni elena helene helena ellen",
-    "george": "george georgios giorgios giorgio", "joseph": "giuseppe joseph josef", "peter": "peter petros pierre pietro piero", "paul": "paul paolo paulo pablo",
-    "catherine": "katerina katherine catherine caterina kate", "michael": "michael michail mikael miguel michel michele", "louis": "louis luigi", "sophia": "sophia sofia sophie",
-}
+#: Given names that stand for each other; of a name in several groups the last one counts.
+ALIASES = (
+    "george georgios giorgios kevork georgio giorgio",
+    "francis francesco francois français",
+    "john ioannis yiannis yannis giannis jean juan giovanni johannes yanni",
+    "constantine konstantinos kostas costas constantino",
+    "stephen esteban stefan stefano steve steven stephano stephane",
+    "nicholas nikolaos nikos nikolas nicolas nikola nicolao nicola nico nicolo nicolò niccolo niccolò nicolaas nicorosi",
+    "peter petros pierre pietro piero petar porto",
+    "michael michail michalis mikael miguel mihail michel michele",
+    "theodore theodoros theo",
+    "dimitri dimitrios demetrios demetrius demetri",
+    "thomas tomas tommaso tomaso",
+    "alexander alexandros alexios alex alekos aleksander alexandre",
+    "evangelos vangelis",
+    "panagiotis panos panayiotis takis",
+    "christos christodoulos christoforos christopher chris christo cristoforo christoforo",
+    "spyros spyridon spiro spiridon spiridione",
+    "vasilis vassilis vasileios basilios vaselios vasilios",
+    "antonis antonios antonio anthony tony antoine",
+    "emilio emil emile emin",
+    "jacobo giacomo jacques jacob zaccaria",
+    "paul paolo paulo pablo pauli polycarpe policarpo",
+    "philip filippo philippe philippo",
+    "andrew andre andrei",
+    "dominic dominique domenico",
+    "gregory gregoire gregorio kirkor",
+    "jerome jérôme gerolamo geronimo hyeronimo",
+    "louis luigi",
+    "giuseppe joseph josef",
+    "pantaleone pandeli leon",
+    "helen eleni elena helene helena hélène ellen",
+    "giuseppa giuseppina josephine joséphine josephina josefina josepha",
+    "mary maria marie maruca marigho",
+    "sophia sofia sophie",
+    "katerina katherine catherine katarina caterina katrina kate catarina catharina kathleen chatrine catu catù",
+    "anna anne ann ana",
+    "evangeline vangelio",
+    "fotini photini",
+    "angela angele angelina angelica angelique angélique angeru angerù",
+    "teresa therese thérèse theresa",
+    "madeleine magdalena maddalena madalena",
+    "brigida brigidina birgitta bergula",
+    "apollonia appollonia plumu plumù",
+    "despina despinu despinù",
+    "battistina battina bettina battistine batestu batestù battu",
+    "julia giulia giuliana",
+    "joanna giovanna jeanne",
+    "rose rosa rosine rosina rosalie",
+    "louise luigia",
+    "epiphanie fanny",
+    "lucia lula",
+    "sofronia subru subrù",
+)
 CLOSE = 2
 
 
@@ -65,7 +113,7 @@ def candidates(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def canonical_given(given: Column) -> Column:
-    pairs = {n: k for k, names in ALIASES.items() for n in names.split()}
+    pairs = {n: f"_{k}" for k, names in enumerate(ALIASES) for n in names.split()}
     names = F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
     return F.coalesce(F.try_element_at(names, given), given)
 
