@@ -283,7 +283,7 @@ def name_piece_order(s: Scan) -> DataFrame:
 @rule("event_source_order")
 def event_source_order(s: Scan) -> DataFrame:
     key = F.when(V("tag") == "NOTE", 2).when(V("tag") == "SOUR", 1).otherwise(0)
-    kids = s.kids.filter((V("level") == 2) & V("parent_tag").isin(*L.EVENT_TAGS) & ~_tag("CONC", "CONT")).withColumn("key", key)
+    kids = s.kids.filter((V("level") == 2) & V("parent_tag").isin(*L.ORDERED_TAGS) & ~_tag("CONC", "CONT")).withColumn("key", key)
     order = W.partitionBy("file_id", "rec_no", "parent_lineno").orderBy("lineno").rowsBetween(W.unboundedPreceding, -1)
     bad = kids.withColumn("most", F.max("key").over(order)).filter("key < most")
     return found(bad.groupBy("file_id", "rec_no", "rec_xref", "parent_lineno").agg(F.min("lineno").alias("first")), F.lit(""), "parent_lineno")

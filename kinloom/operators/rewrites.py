@@ -398,7 +398,7 @@ def _sorted_children(parents: Callable[[], Column], key: Callable[[], Column]) -
 
 
 FIXES["name_piece_order"] = _sorted_children(lambda: (V("parent_tag") == "NAME") & (V("parent_level") == 1), lambda: F.when(_tag(*C.NAME_PIECES), 0).when(_tag("TYPE"), 1).otherwise(2))
-FIXES["event_source_order"] = _sorted_children(lambda: V("parent_tag").isin(*L.EVENT_TAGS) & (V("parent_level") == 1), lambda: F.when(_tag("NOTE"), 2).when(_tag("SOUR"), 1).otherwise(0))
+FIXES["event_source_order"] = _sorted_children(lambda: V("parent_tag").isin(*L.ORDERED_TAGS) & (V("parent_level") == 1), lambda: F.when(_tag("NOTE"), 2).when(_tag("SOUR"), 1).otherwise(0))
 
 #: The two profiles of the linter, and the clean-up that comes before.
 LINT = ("long_lines", "trailing_whitespace", "normalize_dates", "date_caps", "dateless_dates", "curly_quotes", "name_double_spaces", "unknown_surname", "name_case", "nicknames", "name_pieces", "name_piece_order", "plac", "addr_under_plac", "note_under_plac", "note_under_addr", "plac_addresses", "aka_facts", "bapm_births", "duplicate_citations", "redundant_pages", "sole_alternate", "duplicate_names", "duplicate_resi", "dangling_pointers", "bare_events", "event_source_order", "sort_events", "record_order")

@@ -18,7 +18,12 @@ POINTER = r"^@[^@]+@$"
 #: Deepest level that the parent search tells apart.
 DEEPEST = 12
 EVENT_TAGS = (
-    "BIRT CHR BAPM DEAT BURI CREM ADOP CONF GRAD OCCU RETI RESI EMIG IMMI NATU CENS EDUC EVEN FACT PROB MARR DIV".split()
+    "BIRT CHR BAPM DEAT BURI CREM ADOP CONF GRAD OCCU RETI RESI EMIG IMMI NATU CENS EDUC EVEN FACT PROB WILL MARR DIV".split()
+)
+#: Events and attributes whose children have an order: details, sources, notes.
+ORDERED_TAGS = (
+    "BIRT CHR DEAT BURI CREM ADOP BAPM BARM BASM BLES CHRA CONF FCOM ORDN NATU EMIG IMMI CENS PROB WILL GRAD RETI EVEN "
+    "CAST DSCR EDUC IDNO NATI NCHI NMR OCCU PROP RELI RESI SSN TITL FACT ANUL DIV DIVF ENGA MARB MARC MARL MARR MARS".split()
 )
 
 

@@ -218,3 +218,18 @@ def test_given_names_of_one_group_stand_for_each_other(spark):
     df = spark.createDataFrame([*pairs, ("mary", "anna"), ("karl", "john")], "a string, b string")
     got = [r.x for r in df.coalesce(1).select((linkage.canonical_given(F.col("a")) == linkage.canonical_given(F.col("b"))).alias("x")).collect()]
     assert got == [True] * len(pairs) + [False, False] and len(linkage.ALIASES) == 51
+
+
+def test_all_events_and_attributes_have_ordered_children(spark):
+    tags = "WILL BARM BASM BLES CHRA FCOM ORDN CAST DSCR IDNO NATI NCHI NMR PROP RELI SSN TITL ANUL DIVF ENGA MARB MARC MARL MARS BIRT".split()
+    raw = ["0 HEAD"]
+    for k, tag in enumerate(tags):
+        raw += [f"0 @I{k}@ INDI", f"1 {tag}", "2 NOTE n", "2 SOUR @S1@", "3 PAGE p", "2 DATE 1900"]
+    raw += ["0 @W@ INDI", "1 WILL", "2 DATE 1900", "1 EMIG", "2 DATE 1880", "0 TRLR"]
+    rows = lineage.parse_lines(spark.createDataFrame([("f", k, x) for k, x in enumerate(raw, 1)], "file_id string, lineno long, raw string"))
+    assert {x for x, _ in found(rows, "event_source_order")} == {f"@I{k}@" for k in range(len(tags))} and len(lineage.ORDERED_TAGS) == 46
+    assert {x for x, _ in found(rows, "unsorted_events")} == {"@W@"}
+    fixed = [r.raw for r in rewrites.FIXES["event_source_order"](rows).orderBy("lineno", "seq").collect()]
+    for k, tag in enumerate(tags):
+        at = fixed.index(f"0 @I{k}@ INDI")
+        assert fixed[at + 1 : at + 6] == [f"1 {tag}", "2 DATE 1900", "2 SOUR @S1@", "3 PAGE p", "2 NOTE n"]
