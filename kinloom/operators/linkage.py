@@ -164,19 +164,19 @@ def family_context(pairs: DataFrame, matched: DataFrame, parents_a: DataFrame, p
     return rows.withColumn("family", F.when(yes("against"), 0.05).when(yes("parent") & yes("wed"), 0.97).when(yes("parent"), 0.90).when(yes("wed"), 0.85).otherwise(0.5)).drop("against", "parent", "wed")
 
 
-def assign(scores: DataFrame, threshold: float, rounds: int = 50) -> DataFrame:
+def assign(scores: DataFrame, threshold: float) -> DataFrame:
     """scores: (xref_a, xref_b, score). A one-to-one choice: in each round the pairs that are best for both sides
-    are taken (score, then xrefs), which is what taking pairs by descending score gives."""
+    are taken (score, then xrefs), which is what taking pairs by descending score gives. The best pair of all is
+    always taken, so rounds end."""
     left = staged(scores.filter(V("score") >= threshold).select("xref_a", "xref_b", "score"), "pairs")
     chosen = left.limit(0)
-    for _ in range(rounds):
+    while True:
         best = lambda side, other: F.row_number().over(W.partitionBy(side).orderBy(V("score").desc(), "xref_b" if side == "xref_a" else "xref_a"))
         mutual = left.withColumn("ra", best("xref_a", "")).withColumn("rb", best("xref_b", "")).filter("ra = 1 and rb = 1").select("xref_a", "xref_b", "score")
         chosen = staged(chosen.unionByName(mutual), "chosen")
         left = staged(left.join(chosen.select("xref_a"), "xref_a", "left_anti").join(chosen.select("xref_b"), "xref_b", "left_anti"), "pairs")
         if not left.head(1):
             return chosen
-    raise RuntimeError("the choice did not settle")
 
 
 def source_scores(a: DataFrame, b: DataFrame, threshold: float = REVIEW_SOURCE) -> DataFrame:

@@ -187,11 +187,16 @@ def q_decode_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", text.decode_html("html").alias("text"))
 
 
+def _unique(lines: DataFrame) -> DataFrame:
+    """lines with ids and pointers that name their file, so that files can be taken together."""
+    named = lambda c: F.when(F.trim(c).rlike(lineage.POINTER), F.concat(F.lit("@"), "file_id", F.lit(":"), F.substr(F.trim(c), F.lit(2)))).otherwise(F.col(c))
+    return lines.withColumns({c: named(c) for c in ("xref", "rec_xref", "value")})
+
+
 def _files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Two files of the same people, the second under other numbers."""
-    lines = scan(spark, sf_dir).lines
-    one = lines.filter("file_id = 'f0'")
-    return one, one.withColumn("file_id", F.lit("g0"))
+    """Two data sets of the same people: all files, the second under other names."""
+    one = _unique(scan(spark, sf_dir).lines)
+    return one, one.withColumn("file_id", F.concat(F.lit("g"), "file_id"))
 
 
 def q_link(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,7 +204,7 @@ def q_link(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_source_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sources = lineage.sources(scan(spark, sf_dir).lines.filter("file_id = 'f0'")).filter("title is not null")
+    sources = lineage.sources(_unique(scan(spark, sf_dir).lines)).filter("title is not null")
     return linkage.source_scores(sources, sources)
 
 

@@ -195,6 +195,22 @@ def test_same_people_are_linked_to_themselves(lines):
     assert got and all(a == b for a, b in got)
 
 
+def test_linkage_and_source_scores_take_all_files(spark, tmp_path):
+    from kinloom import queries
+
+    names = ["Anna", "Karl", "Olga", "Ivar", "Ruth", "Emma"]
+    people = [(k, c, n) for k, c in enumerate(["Berg", "Quist", "Zamora"]) for n in names]
+    raw = []
+    for k, surname in enumerate(["Berg", "Quist", "Zamora"]):
+        rows = [x for i, n in enumerate(names) for x in (f"0 @I{i}@ INDI", f"1 NAME {n} /{surname}/", "1 SEX " + "FMFMFF"[i], "1 BIRT", f"2 DATE {3 + i} MAY {1700 + 60 * k + i}", "2 PLAC Oslo, Norway", "1 DEAT", f"2 DATE {1750 + 60 * k + i}", "2 PLAC Oslo, Norway")]
+        raw += [(f"f{k}", n, x) for n, x in enumerate([*rows, "0 @S1@ SOUR", f"1 TITL {surname} parish register"])]
+    parsed = lineage.parse_lines(spark.createDataFrame(raw, "file_id string, lineno long, raw string")).persist()
+    queries._LINES[(spark.sparkContext.applicationId, id(spark), str(tmp_path))] = parsed
+    got = {(r.xref_a, r.xref_b) for r in queries.q_link(spark, str(tmp_path)).collect()}
+    assert got == {(f"@f{k}:I{names.index(n)}@",) * 2 for k, _, n in people}
+    assert {(r.xref_a, r.xref_b) for r in queries.q_source_scores(spark, str(tmp_path)).collect() if r.xref_a == r.xref_b} == {(f"@f{k}:S1@",) * 2 for k in range(3)}
+
+
 def test_graph(spark, lines):
     e = lineage.edges(lines)
     up = graph.parents_of(e).select("child", "father", "mother")
