@@ -136,8 +136,8 @@ def test_line_dedup_of_stars_and_mixed_families(spark, monkeypatch):
     data = []
     for _ in range(2):
         template = rng.choice(vocabulary, 32).tolist()
+        data += [" ".join([*template[:k], "".join(rng.choice(list("ijkl"), 6)), *template[k + 1 :]]) for k in (2 + n % 28 for n in range(400))]
         data.append(" ".join(template))
-        data += [" ".join([*template[:k], "".join(rng.choice(list("ijkl"), 6)), *template[k + 1 :]]) for k in (n % 32 for n in range(400))]
     rows = [(k + 1, x) for k, x in enumerate(data)]
     got = {r.node - 1: r.component - 1 for r in lines.families(spark.createDataFrame(rows, "key long, line string").repartition(3)).collect()}
     numbers = lines.signatures(data)
