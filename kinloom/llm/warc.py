@@ -13,18 +13,19 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinloom.llm.common import bind, work_dir
+from kinloom.llm.common import bind, staged, work_dir
 
 BREAK = "\r\n"
-#: Records in an archive file at most. A reader holds one file at a time.
-FILE_ROWS = 1024
+#: Records in an archive file at most. A reader inflates a file record by record and passes on so many bytes at once.
+FILE_ROWS, BATCH_BYTES = 1024, 8 << 20
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 HEADER = "page_id long, record_type string, refers_to long, header string, http_header string, digest string"
 
@@ -39,24 +40,23 @@ def base32_sha1(payload: Column) -> Column:
 def _records(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The responses, with html, and the revisits, without: page_id, url, digest, sha1, size, nth, of, of_url.
 
-    The smallest page of each payload and how often each row repeats are narrow aggregates. Html is shuffled once,
-    by payload and page, so that a payload that very many pages share is dealt over their ids; of repeated rows
-    there, one is the response. No row needs a number that a lost task could give anew.
+    The smallest page of each payload and how often each row repeats are narrow aggregates. Html is shuffled once, by
+    digest, after each task has kept one of equal payloads, so that a payload that very many pages share comes once
+    from a task. Of repeated rows one is the response. No row needs a number that a lost task could give anew.
     """
-    place = F.xxhash64(F.col("page_id").isNull(), "page_id", F.col("url").isNull(), "url").alias("place")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    rows = rows.select("page_id", "url", "html", F.sha2("html", 256).alias("digest"), place)
+    rows = rows.select("page_id", "url", "html", F.sha2("html", 256).alias("digest"))
     facts = [base32_sha1(F.col("html")).alias("sha1"), F.octet_length("html").alias("size")]
-    same = rows.select("page_id", "url", "digest", "place", *facts).groupBy("digest", "place", "page_id", "url", "sha1", "size").agg(F.count("*").alias("n"))
-    first = same.groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", F.col("url").isNull().alias("bare"), "url", "place")).alias("first"))
-    first = first.select("digest", F.col("first.page_id").alias("of"), F.col("first.url").alias("of_url"), F.col("first.place").alias("of_place"))
+    same = rows.select("page_id", "url", "digest", *facts).groupBy("digest", "page_id", "url", "sha1", "size").agg(F.count("*").alias("n"))
+    same = staged(same, "warc-pages")
+    first = same.groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", F.col("url").isNull().alias("bare"), "url", "sha1", "size")).alias("first"))
+    first = first.select("digest", *[F.col(f"first.{c}").alias(n) for c, n in (("page_id", "of"), ("url", "of_url"), ("sha1", "of_sha1"), ("size", "of_size"))])
     own = F.col("page_id").eqNullSafe(F.col("of")) & F.col("url").eqNullSafe(F.col("of_url"))
     many = same.join(first, "digest").withColumn("left", F.col("n") - F.when(own, 1).otherwise(0)).filter("left > 0")
     many = many.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("left").cast("int"))))
-    kept = rows.join(first.select("digest", F.col("of_place").alias("place"), "of", "of_url"), ["digest", "place"]).filter(own)
-    kept = kept.withColumn("again", F.row_number().over(W.partitionBy("digest", "place").orderBy("digest", "place"))).filter("again = 1")
-    columns = ["page_id", "url", "digest", "sha1", "size", "nth", "of", "of_url"]
-    return kept.select("*", *facts, F.lit(0).alias("nth")).select(*columns, "html"), many.select(*columns)
+    kept = rows.groupBy("digest").agg(F.any_value("html").alias("html")).join(first, "digest")
+    kept = kept.select(F.col("of").alias("page_id"), F.col("of_url").alias("url"), "digest", F.col("of_sha1").alias("sha1"), F.col("of_size").alias("size"), F.lit(0).alias("nth"), "of", "of_url", "html")
+    return kept, many.select("page_id", "url", "digest", "sha1", "size", "nth", "of", "of_url")
 
 
 def _urn(page: Column, url: Column, nth: Column) -> Column:
@@ -90,17 +90,21 @@ def write_archive(pages: DataFrame, path: str, file_rows: int = FILE_ROWS) -> No
     writer.option("maxRecordsPerFile", file_rows).text(path)
 
 
-def split_records(content: bytes) -> Iterator[tuple[str, bytes]]:
-    """(header with its blank line, block) of each record."""
-    at, gap = 0, 2 * BREAK.encode()
-    while at < len(content):
-        end = content.index(gap, at) + len(gap)
-        header = content[at:end].decode()
-        size = int(header.rpartition("Content-Length:")[2].split(BREAK, 1)[0])
-        if content[end + size : end + size + len(gap)] != gap:
+def split_records(content: BinaryIO) -> Iterator[tuple[str, bytes]]:
+    """(header with its blank line, block) of each record of a stream, one record at a time."""
+    gap = (2 * BREAK).encode()
+    while line := content.readline():
+        header = [line]
+        while line != BREAK.encode():
+            if not (line := content.readline()):
+                raise ValueError("a record's header does not end")
+            header.append(line)
+        text = b"".join(header).decode()
+        size = int(text.rpartition("Content-Length:")[2].split(BREAK, 1)[0])
+        block = content.read(size)
+        if len(block) != size or content.read(len(gap)) != gap:
             raise ValueError("a record does not end where its length says")
-        yield header, content[end : end + size]
-        at = end + size + len(gap)
+        yield text, block
 
 
 def _fields(header: str) -> dict[str, str]:
@@ -118,11 +122,15 @@ def ingest(spark: SparkSession, archive: str, path: str) -> None:
     schema = HEADER + ", payload binary, kind string"
     fields = [("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("header", pa.string()), ("http_header", pa.string()), ("digest", pa.string()), ("payload", pa.binary()), ("kind", pa.string())]
 
+    def table(out: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*out)) or [()] * len(fields)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields)], [n for n, _ in fields])
+
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                out: list[tuple] = []
-                for header, block in split_records(gzip.decompress(content.as_py())):
+                out, held = [], 0
+                for header, block in split_records(gzip.open(io.BytesIO(content.as_py()))):
                     field = _fields(header)
                     http, _, payload = block.partition(2 * BREAK.encode())
                     digest = field["X-Payload-SHA256"]
@@ -133,8 +141,11 @@ def ingest(spark: SparkSession, archive: str, path: str) -> None:
                         out.append((None, None, None, None, None, digest, payload, "payload"))
                     refers = _page(field.get("WARC-Refers-To")) if field["WARC-Type"] == "revisit" else None
                     out.append((_page(field["WARC-Record-ID"]), field["WARC-Type"], refers, header, http.decode() + 2 * BREAK, digest, None, "header"))
-                columns = list(zip(*out)) or [()] * len(fields)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields)], [n for n, _ in fields])
+                    held += len(block)
+                    if held >= BATCH_BYTES:
+                        yield table(out)
+                        out, held = [], 0
+                yield table(out)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(archive).select("content")
     files.mapInArrow(parse, schema).write.partitionBy("kind").option("compression", "zstd").parquet(path)
@@ -151,18 +162,21 @@ def single(payloads: DataFrame) -> DataFrame:
     return payloads.dropDuplicates(["digest"])
 
 
-def reconstruct(headers: DataFrame, payloads: DataFrame) -> DataFrame:
-    """The records: headers with the payload of their digest. A payload that very many records share makes a
+def reconstruct(headers: DataFrame, payloads: DataFrame, *columns: Column | str) -> DataFrame:
+    """The records: headers with the payload of their digest, or with other columns that are made of it alone: those
+    are made once for a payload, before the join, and only they move. A payload that very many records share makes a
     skewed join, which adaptive execution splits."""
-    return headers.join(payloads, "digest")
+    return headers.join(payloads.select("digest", *(columns or ("payload",))), "digest")
 
 
 def archived_pages(pages: DataFrame) -> DataFrame:
     """Writes pages as an archive, reads it into a store, and returns for each record page_id, payload_bytes,
-    payload_digest, record_type and refers_to of the reconstructed record. An empty table gives an empty result."""
+    payload_digest, record_type and refers_to of the reconstructed record: its payload's length and digest are of the
+    bytes that the store holds. An empty table gives an empty result."""
     spark = pages.sparkSession
     archive, path = work_dir(spark, "warc"), work_dir(spark, "warc-store")
     write_archive(pages, archive)
     ingest(spark, archive, path)
-    records = reconstruct(store_table(spark, path, "header"), store_table(spark, path, "payload"))
-    return records.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"), "record_type", "refers_to")
+    size, digest = F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest")
+    records = reconstruct(store_table(spark, path, "header"), store_table(spark, path, "payload"), size, digest)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
