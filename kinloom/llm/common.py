@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kinloom.staging import staged, work_dir
 
-__all__ = ["BLANKS", "WORD", "bind", "staged", "table", "work_dir"]
+__all__ = ["BLANKS", "WORD", "bind", "fresh", "staged", "table", "work_dir"]
 
 #: The six ASCII blanks that separate words, as a Java character class body.
 BLANKS = r"\x20\x09-\x0D"
@@ -23,3 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value computed once however often body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{name}"
+    while name.lower() in taken:
+        name += "_"
+    return name

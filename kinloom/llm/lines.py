@@ -5,10 +5,14 @@ that share a band's values meet in a bucket. There each line is paired with the
 the one before it first; buckets whose lines are not in one component by then are walked, so that no pair of a
 bucket is left out. Pairs whose exact Jaccard similarity over shingles reaches the threshold are
 links; of each component, and of each set of equal lines, the first line in document order stays.
+
+Texts go to Python as a whole and are cut into lines there: once for keys and signatures, which are written to
+the shared folder, and once more for the lines that a bucket pairs.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,39 +21,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinloom.llm.common import staged
+from kinloom.llm.common import bind, fresh, staged
 from kinloom.llm.components import components
 
 SHINGLE, SIMILAR = 8, 0.8
 #: 9 bands of 4 hashes: two lines that are 0.8 alike share a band with a chance of 0.992, at 0.9 of 0.9999.
 BANDS, HASHES = 9, 4
 SEED = 42
-#: Bits of the filter that keeps texts which no bucket pairs out of the join; its size is fixed.
-FILTER_BITS = 1 << 23
+#: Bits of the filter that keeps texts which no bucket pairs out of the join: eight for each key, between these. With
+#: more keys than the largest has bits, it keeps nothing out, and nothing is lost either.
+FILTER_BITS = (1 << 15, 1 << 27)
 #: Characters whose shingles are hashed at once.
 CHUNK = 1 << 16
 #: Lines that a task remembers, so that equal ones are hashed once; it forgets all of them when they are more.
 SEEN = 200_000
 #: Lines and characters of a block; a bucket of more is walked by pairs of blocks.
 BLOCK, BLOCK_CHARS = 2_000, 1 << 19
+#: Shingles are counted by 64-bit hashes; a similarity this near the threshold, in shingles, is counted by the
+#: shingles themselves.
+MARGIN = 4
+_BLANKS = re.compile("[\x00-\x20]+")
 
 
-def normal(line: Column) -> Column:
+def normal(line: str) -> str:
     """A line as it is compared: lower case, blanks collapsed."""
-    plain = F.when(line.rlike(r"[\x00-\x1F]|  "), F.regexp_replace(line, r"[\x00-\x20]+", " ")).otherwise(line)
-    return F.lower(F.trim(plain))
+    if "  " in line or not line.isprintable():
+        line = _BLANKS.sub(" ", line)
+    return line.strip(" ").lower()
+
 
+def keyed(text: str) -> list[tuple[int, str]]:
+    """The key of each line, a 64-bit hash, and the line as compared; a blank line has key 0 and no text."""
+    import xxhash
 
-def _key(line: Column) -> Column:
-    return F.xxhash64(line)
+    digest = xxhash.xxh64_intdigest
+    return [(digest(x.encode(), SEED), x) if x else (0, "") for x in map(normal, text.split("\n"))]
 
 
-def exploded(docs: DataFrame) -> DataFrame:
-    """docs: (doc_id, text). A row for each line: doc (null ids as the largest number), tie (hash of the text),
-    line_no, line as compared."""
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
-    rows = docs.select(doc.alias("doc"), F.xxhash64("text").alias("tie"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
-    return rows.withColumn("line", normal(F.col("line")))
+def document_key(docs: DataFrame) -> tuple[Column, Column]:
+    """What tells documents apart: the id, null as the largest number, and a hash of the text."""
+    return F.coalesce(docs["doc_id"].cast("long"), F.lit(2**63 - 1)), F.xxhash64(docs["text"])
 
 
 def shingle_set(line: str) -> set[str]:
@@ -62,9 +73,9 @@ _TIMES = _RANDOM.integers(0, 1 << 32, BANDS * HASHES, dtype=np.uint32) | 1
 _POWERS = _RANDOM.integers(0, 1 << 63, SHINGLE, dtype=np.uint64) | np.uint64(1)
 
 
-def signatures(lines: list[str]) -> np.ndarray:
-    """The bucket numbers of each line's bands, (lines, BANDS), as int64. Lines are not empty."""
-    out = np.empty((len(lines), BANDS * HASHES), np.uint32)
+def _windows(lines: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Ranges of lines (first, end) with 64-bit hashes of their shingles, repeats included, and where each line's
+    start. Lines are not empty."""
     start = 0
     while start < len(lines):
         stop, total = start, 0
@@ -76,23 +87,38 @@ def signatures(lines: list[str]) -> np.ndarray:
         sizes = np.fromiter(map(len, part), np.int64, len(part))
         codes = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         n = len(codes) - SHINGLE + 1
-        h = sum(codes[k : k + n] * _POWERS[k] for k in range(SHINGLE))
+        h = codes[:n] * _POWERS[0]
+        for k in range(1, SHINGLE):
+            h += codes[k : k + n] * _POWERS[k]
         h ^= h >> np.uint64(31)
         h *= np.uint64(0x9E3779B97F4A7C15)
-        h = (h >> np.uint64(32)).astype(np.uint32)
         ends = np.cumsum(sizes)
         # shingles that reach into the next line are taken out
         keep = np.ones(len(codes), bool)
         for k in range(1, SHINGLE):
             keep[ends - k] = False
-        h = h[keep[:n]]
-        firsts = ends - sizes - np.arange(len(part)) * (SHINGLE - 1)
+        yield start, stop, h[keep[:n]], ends - sizes - np.arange(len(part)) * (SHINGLE - 1)
+        start = stop
+
+
+def signatures(lines: list[str]) -> np.ndarray:
+    """The bucket numbers of each line's bands, (lines, BANDS), as int64. Lines are not empty."""
+    out = np.empty((len(lines), BANDS * HASHES), np.uint32)
+    for start, stop, h, firsts in _windows(lines):
+        h = (h >> np.uint64(32)).astype(np.uint32)
         for k in range(BANDS * HASHES):
             out[start:stop, k] = np.minimum.reduceat((h ^ _FLIP[k]) * _TIMES[k], firsts)
-        start = stop
     return banded(out)
 
 
+def shingle_numbers(lines: list[str]) -> list[np.ndarray]:
+    """The distinct 64-bit hashes of each line's shingles, ascending."""
+    out: list[np.ndarray] = []
+    for _, _, h, firsts in _windows(lines):
+        out += [np.unique(x) for x in np.split(h, firsts[1:])]
+    return out
+
+
 def banded(least: np.ndarray) -> np.ndarray:
     """The bucket numbers of each row's bands. least: (rows, BANDS * HASHES), the least values of a row's hashes."""
     wide = least.reshape(len(least), BANDS, HASHES).astype(np.uint64)
@@ -108,23 +134,63 @@ def least_hashes(hashes: np.ndarray) -> np.ndarray:
     return np.array([((hashes ^ f) * t).min() for f, t in zip(_FLIP, _TIMES)], np.uint32)
 
 
-def buckets(lines: DataFrame, signed: Callable[[list[str]], np.ndarray] = signatures) -> DataFrame:
-    """lines: (key, line). (bucket, key) for each band of each line; of equal lines that a task meets, one counts."""
+def scanned(docs: DataFrame, signed: Callable[[list[str]], np.ndarray] = signatures) -> DataFrame:
+    """docs: (doc_id, text). Rows of two kinds: doc, tie, keys, checks for each document, with an entry for each line
+    (null for blank ones; checks are second hashes); and key, bands for each line that a task meets first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        seen: set[int] = set()
+        long, longs = pa.int64(), pa.list_(pa.int64())
+        names = ["doc", "tie", "keys", "checks", "key", "bands"]
+        signed64 = lambda x: np.array(x, np.uint64).view(np.int64)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                keys, checks, ends, new = [], [], [0], {}
+                for text in batch.column(2).to_pylist():
+                    for key, line in keyed(text):
+                        keys.append(key)
+                        checks.append(xxhash.xxh64_intdigest(line.encode(), SEED + 1))
+                        if line and key not in seen:
+                            new.setdefault(key, line)
+                    ends.append(len(keys))
+                blank = np.array(keys, np.uint64) == 0
+                lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(signed64(x), long, mask=blank)) for x in (keys, checks)]
+                none = pa.nulls(batch.num_rows, long), pa.nulls(batch.num_rows, longs)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists, *none], names)
+                if len(seen) > SEEN:
+                    seen.clear()
+                seen.update(new)
+                if new:
+                    found = signed(list(new.values()))
+                    bands = pa.ListArray.from_arrays(pa.array(np.arange(len(new) + 1, dtype=np.int32) * BANDS), pa.array(found.ravel()))
+                    empty = [pa.nulls(len(new), t) for t in (long, long, longs, longs)]
+                    yield pa.RecordBatch.from_arrays([*empty, pa.array(signed64(list(new))), bands], names)
+
+    doc, tie = document_key(docs)
+    rows = docs.select(doc.alias("doc"), F.coalesce(tie, F.lit(0)).alias("tie"), F.coalesce(docs["text"], F.lit("")).alias("text"))
+    return rows.mapInArrow(run, "doc long, tie long, keys array<long>, checks array<long>, key long, bands array<long>")
+
+
+def line_texts(docs: DataFrame, bits: bytes) -> DataFrame:
+    """docs: (text). (key, line) for each key that the filter may have; of repeats that a task meets, one."""
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            own, first = np.unique(keys, return_index=True)
-            at = [k for key, k in zip(own.tolist(), first.tolist()) if key not in seen]
+            table = np.frombuffer(shared.value, np.uint8)
+            rows = [x for text in batch.column(0).to_pylist() for x in keyed(text)]
+            there = has_bit(table, np.fromiter((k for k, _ in rows), np.uint64, len(rows)))
             if len(seen) > SEEN:
                 seen.clear()
-            seen.update(own.tolist())
-            if at:
-                found = signed(batch.column(1).take(pa.array(at)).to_pylist())
-                yield pa.RecordBatch.from_arrays([pa.array(found.ravel()), pa.array(np.repeat(keys[at], BANDS))], ["bucket", "key"])
+            new = {rows[k][0]: rows[k][1] for k in np.flatnonzero(there).tolist() if rows[k][1] and rows[k][0] not in seen}
+            seen.update(new)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(list(new), np.uint64).view(np.int64)), pa.array(list(new.values()), pa.string())], ["key", "line"])
 
-    return lines.select("key", "line").mapInArrow(run, "bucket long, key long")
+    return docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "key long, line string")
 
 
 def meetings(found: DataFrame) -> DataFrame:
@@ -141,65 +207,83 @@ def candidate_pairs(met: DataFrame) -> DataFrame:
     return met.select(pair, F.col("key").alias("b")).distinct()
 
 
-def _bit(key: Column) -> Column:
-    """A key's bit, from one on: the bitmap functions count bit zero to a bucket of its own."""
-    return F.pmod(key, F.lit(FILTER_BITS)) + 1
-
-
 def _filter(keys: DataFrame) -> bytes:
-    """A bit for each key modulo FILTER_BITS, of fixed size however many keys there are."""
-    bit = _bit(F.col("key"))
+    """A bit for each of the distinct keys, modulo the number of bits, which is bounded however many keys there are."""
+    size = FILTER_BITS[0]
+    count = keys.count()
+    while size < min(8 * count, FILTER_BITS[1]):
+        size *= 2
+    # counted from one: the bitmap functions count bit zero to a bucket of its own
+    bit = F.pmod("key", F.lit(size)) + 1
     rows = keys.groupBy(F.bitmap_bucket_number(bit).alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
-    out = bytearray(FILTER_BITS // 8 + 8192)
+    out = bytearray(size // 8)
     for n, bits in rows:
-        at = (n - 1) * 4096
-        out[at : at + len(bits)] = bits
+        out[(n - 1) * 4096 : n * 4096] = bits
     return bytes(out)
 
 
-def _maybe(key: Column, bits: bytes, spark) -> Column:
-    """Whether the filter has the key's bit, for a few thousand wide rows at a time."""
-    shared = spark.sparkContext.broadcast(np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little"))
-    bit = _bit(key)
-    at = (F.bitmap_bucket_number(bit) - 1) * 32768 + F.bitmap_bit_position(bit)
+def has_bit(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the filter, as bytes, has the bits of keys (uint64)."""
+    at = keys & np.uint64(len(table) * 8 - 1)
+    return (table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def maybe(key: Column, bits: bytes, spark) -> Column:
+    """Whether the filter has the key's bit."""
+    shared = spark.sparkContext.broadcast(bits)
 
     @F.pandas_udf("boolean")
     def has(x):  # noqa: ANN001, ANN202
         import pandas as pd
 
-        return pd.Series(shared.value[x.to_numpy()] == 1)
+        return pd.Series(has_bit(np.frombuffer(shared.value, np.uint8), x.to_numpy(np.int64).view(np.uint64)))
 
-    return has(at)
+    return has(key)
 
 
-def similar(pairs: DataFrame, similarity: float = SIMILAR, shingles: Callable[[str], set] = shingle_set) -> DataFrame:
+def alike(a: tuple[str, np.ndarray], b: tuple[str, np.ndarray], similarity: float, shingles: Callable[[str], set]) -> bool:
+    """Whether two texts, given with their shingles' hashes, have a Jaccard similarity of ``similarity`` or more."""
+    x, y = (a[1], b[1]) if len(a[1]) >= len(b[1]) else (b[1], a[1])
+    if len(y) + MARGIN < similarity * len(x):
+        return False
+    both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+    over = both - similarity * (len(x) + len(y) - both)
+    return over > 0 if abs(over) > MARGIN else alike_exactly(a[0], b[0], similarity, shingles)
+
+
+def alike_exactly(a: str, b: str, similarity: float, shingles: Callable[[str], set]) -> bool:
+    x, y = shingles(a), shingles(b)
+    return len(x & y) >= similarity * len(x | y)
+
+
+Numbers = Callable[[list[str]], list[np.ndarray]]
+
+
+def similar(pairs: DataFrame, similarity: float = SIMILAR, shingles: Callable[[str], set] = shingle_set, numbers: Numbers = shingle_numbers) -> DataFrame:
     """pairs: (a, b, line_a, line_b). The (a, b) whose exact Jaccard similarity over shingles is enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, set()
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                if x != last:
-                    last, own = x, shingles(x)
-                other = shingles(y)
-                low, high = sorted((len(own), len(other)))
-                both = len(own & other) if low >= similarity * high else 0
-                keep.append(both >= similarity * (low + high - both))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                one, two = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+                texts = list(dict.fromkeys([*one, *two]))
+                known = dict(zip(texts, numbers(texts)))
+                keep = [alike((x, known[x]), (y, known[y]), similarity, shingles) for x, y in zip(one, two)]
+                yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.select("a", "b", "line_a", "line_b").mapInArrow(run, "a long, b long")
 
 
-def _walk(keys: np.ndarray, parts: np.ndarray, lines: list[str], similarity: float, shingles: Callable[[str], set]) -> list[tuple[int, int]]:
+def _walk(keys: np.ndarray, parts: np.ndarray, lines: list[str], similarity: float, shingles: Callable[[str], set], numbers: Numbers) -> list[tuple[int, int]]:
     """Links between lines of different parts that connect all parts with a pair alike. Small parts are walked
     first, each line against those not reached yet, whose shared shingles are counted at once."""
-    numbers: dict[str, int] = {}
-    sets = [np.fromiter((numbers.setdefault(x, len(numbers)) for x in shingles(line)), np.int64) for line in lines]
-    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    every, owners = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-    owners = owners[np.argsort(every, kind="stable")]
-    starts = np.concatenate([[0], np.cumsum(np.bincount(every, minlength=len(numbers)))])
+    hashes = numbers(lines)
+    sizes = np.fromiter(map(len, hashes), np.int64, len(hashes))
+    every = np.unique(np.concatenate(hashes), return_inverse=True)[1]
+    sets = np.split(every, np.cumsum(sizes)[:-1])
+    owners = np.repeat(np.arange(len(sets)), sizes)[np.argsort(every, kind="stable")]
+    starts = np.concatenate([[0], np.cumsum(np.bincount(every))])
     _, part, members = np.unique(parts, return_inverse=True, return_counts=True)
     of = [[] for _ in members]
     for k, p in enumerate(part.tolist()):
@@ -214,8 +298,9 @@ def _walk(keys: np.ndarray, parts: np.ndarray, lines: list[str], similarity: flo
         while queue and left.any():
             at = queue.pop()
             both = np.bincount(np.concatenate([owners[starts[x] : starts[x + 1]] for x in sets[at].tolist()]), minlength=len(sets))
-            for k in np.flatnonzero(left & (both >= similarity * (sizes + sizes[at] - both))).tolist():
-                if not reached[part[k]]:
+            over = both - similarity * (sizes + sizes[at] - both)
+            for k in np.flatnonzero(left & (over >= -MARGIN)).tolist():
+                if not reached[part[k]] and (over[k] > MARGIN or alike_exactly(lines[at], lines[k], similarity, shingles)):
                     reached[part[k]] = True
                     left[of[part[k]]] = False
                     queue += of[part[k]]
@@ -223,7 +308,24 @@ def _walk(keys: np.ndarray, parts: np.ndarray, lines: list[str], similarity: flo
     return links
 
 
-def missed_links(met: DataFrame, found: DataFrame, texts: DataFrame, similarity: float = SIMILAR, shingles: Callable[[str], set] = shingle_set) -> DataFrame:
+def _groups(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[pa.Table]:
+    """Rows that are equal in the first ``by`` columns, which follow each other, as tables."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        now = pa.Table.from_batches([batch])
+        now = now if rest is None else pa.concat_tables([rest, now])
+        change = np.zeros(max(0, len(now) - 1), bool)
+        for k in range(by):
+            change |= np.diff(now.column(k).to_numpy()) != 0
+        bounds = [0, *(np.flatnonzero(change) + 1).tolist()]
+        for a, b in zip(bounds, bounds[1:]):
+            yield now.slice(a, b - a)
+        rest = now.slice(bounds[-1]).combine_chunks()
+    if rest is not None and len(rest):
+        yield rest
+
+
+def missed_links(met: DataFrame, found: DataFrame, texts: DataFrame, similarity: float = SIMILAR, shingles: Callable[[str], set] = shingle_set, numbers: Numbers = shingle_numbers) -> DataFrame:
     """met: what meets; found: (node, component) so far; texts: (key, line). Links (a, b) between components whose
     lines share a bucket, as many as connect them. Buckets of one component or of one pair have nothing left to
     find, and of buckets with the same keys one counts."""
@@ -241,26 +343,28 @@ def missed_links(met: DataFrame, found: DataFrame, texts: DataFrame, similarity:
     rows = rows.select("bucket", "key", "part", "block", F.explode(others).alias("other"))
     rows = rows.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key", "part").join(texts, "key")
 
-    def run(group: pa.Table) -> pa.Table:
-        at = lambda c: group.column(c).to_numpy()
-        pairs = _walk(at("key"), at("part"), group.column("line").to_pylist(), similarity, shingles) if len(np.unique(at("part"))) > 1 else []
-        a, b = zip(*pairs) if pairs else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, 3):
+            parts = group.column(4).to_numpy()
+            if (parts != parts[0]).any():
+                found = _walk(group.column(3).to_numpy(), parts, group.column(5).to_pylist(), similarity, shingles, numbers)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
 
-    return rows.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long")
+    rows = rows.select("bucket", "i", "j", "key", "part", "line")
+    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, "a long, b long")
 
 
-def families(lines: DataFrame, similarity: float = SIMILAR, shingles: Callable[[str], set] = shingle_set, signed: Callable[[list[str]], np.ndarray] = signatures) -> DataFrame:
-    """lines: (key, line), none empty, repeats allowed. (node, component) for each key that has a link: keys of lines
-    that share a bucket and are alike."""
-    met = staged(meetings(buckets(lines, signed)), "line-buckets")
+def families(found: DataFrame, texts_of: Callable[[bytes], DataFrame], similarity: float = SIMILAR, shingles: Callable[[str], set] = shingle_set, numbers: Numbers = shingle_numbers) -> DataFrame:
+    """found: (bucket, key), repeats allowed; texts_of: gives the (key, line), repeats allowed, of all keys that a filter
+    may have. (node, component) for each key that has a link: keys of lines that share a bucket and are alike."""
+    met = staged(meetings(found), "line-buckets")
     pairs = staged(candidate_pairs(met), "line-pairs")
-    keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b"))
-    texts = lines.filter(_maybe(F.col("key"), _filter(keys), lines.sparkSession)).groupBy("key").agg(F.max("line").alias("line"))
-    texts = staged(texts, "line-texts")
+    keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    texts = staged(texts_of(_filter(keys)).join(keys, "key", "left_semi").groupBy("key").agg(F.max("line").alias("line")), "line-texts")
     both = pairs.join(texts.select(F.col("key").alias("a"), F.col("line").alias("line_a")), "a").join(texts.select(F.col("key").alias("b"), F.col("line").alias("line_b")), "b")
-    found = staged(components(similar(both, similarity, shingles)), "line-components")
-    more = staged(missed_links(met, found, texts, similarity, shingles), "line-missed")
+    found = staged(components(similar(both, similarity, shingles, numbers)), "line-components")
+    more = staged(missed_links(met, found, texts, similarity, shingles, numbers), "line-missed")
     if not more.head(1):
         return found
     # links between components are few: they are joined as components, not line by line
@@ -273,11 +377,12 @@ def families(lines: DataFrame, similarity: float = SIMILAR, shingles: Callable[[
 
 def decisions(docs: DataFrame, similarity: float = SIMILAR) -> DataFrame:
     """docs: (doc_id, text). For each line that goes: doc, tie, line_no."""
-    lines = exploded(docs).filter("line != ''")
-    keyed = lines.select(_key(F.col("line")).alias("key"), "line")
-    found = staged(families(keyed, similarity), "line-families")
+    rows = staged(scanned(docs), "line-scan")
+    found = rows.filter("key is not null").select(F.explode("bands").alias("bucket"), "key")
+    found = staged(families(found, lambda bits: line_texts(docs, bits), similarity), "line-families")
     # a second hash tells lines apart that share a key: those never go in the other's favour
-    places = staged(lines.select("doc", "tie", "line_no", _key(F.col("line")).alias("key"), F.xxhash64(F.concat(F.lit("#"), "line")).alias("check")), "line-places")
+    places = rows.filter("doc is not null").select("doc", "tie", F.posexplode(F.arrays_zip("keys", "checks")).alias("line_no", "x"))
+    places = places.select("doc", "tie", "line_no", F.col("x.keys").alias("key"), F.col("x.checks").alias("check")).filter("key is not null")
     first = places.groupBy("key").agg(F.min(F.struct("doc", "tie", "line_no", "check")).alias("first"))
     first = first.join(found, first["key"] == found["node"], "left").select("key", "first", F.coalesce("component", "key").alias("component"))
     best = first.groupBy("component").agg(F.min("first").alias("best"))
@@ -293,15 +398,15 @@ def deduplicated(docs: DataFrame, similarity: float = SIMILAR) -> DataFrame:
     the smallest doc_id (null last), then of the smallest hash of the text, then the smallest line number.
     Repeated rows are one document and come out alike. An empty table gives an empty result.
     """
-    gone = decisions(docs, similarity).groupBy("doc", "tie").agg(F.collect_set("line_no").alias("_gone"))
-    gone = gone.select(F.col("doc").alias("_doc"), F.col("tie").alias("_tie"), "_gone")
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
-    rows = docs.join(gone, (doc == F.col("_doc")) & (F.xxhash64("text") == F.col("_tie")), "left")
-    numbered = F.transform(F.split("text", "\n"), lambda x, k: F.struct(x.alias("x"), k.alias("k")))
-    left = F.transform(F.filter(numbered, lambda s: ~F.array_contains("_gone", s["k"])), lambda s: s["x"])
-    out = rows.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
+    doc, tie = document_key(docs)
+    of, at, gone = (fresh(docs, n) for n in ("doc", "tie", "gone"))
+    found = decisions(docs, similarity).groupBy(F.col("doc").alias(of), F.col("tie").alias(at)).agg(F.collect_set("line_no").alias(gone))
+    rows = docs.join(found, (doc == F.col(of)) & (tie == F.col(at)), "left")
+    lines = F.split("text", "\n")
+    left = bind(lines, lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), gone), lambda k: F.get(x, k)))
+    out = rows.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinloom.llm import lines
-from kinloom.llm.common import staged
+from kinloom.llm.common import fresh, staged
 from kinloom.llm.components import components
 
 SHINGLE, SEED, LIMIT, SPARE, PIVOTS = 4, 42, 4, 2, 16
@@ -63,16 +63,39 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(counts * 2 > len(hashes)).view(">u8")[0])
 
 
-def _fingerprinted(docs: DataFrame, *more: str) -> DataFrame:
-    """docs: (doc_id, text) and more, which are longs. (doc_id, more, fp)."""
+def longer(hashes: np.ndarray) -> np.ndarray:
+    """Hashes of the shingles of a word more than those whose hashes are given, in order: each is made of two
+    neighbours. A sole shingle stands for itself."""
+    two = hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + (hashes[1:] ^ (hashes[1:] >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F) if len(hashes) > 1 else hashes
+    two = (two ^ (two >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return two ^ (two >> np.uint64(32))
+
+
+def _fingerprinted(docs: DataFrame, *more: str, near: bool = False) -> DataFrame:
+    """docs: (doc_id, text) and more, which are longs. (doc_id, more, fp), and if near bands: the numbers of the MinHash
+    buckets of the text's shingles of NEAR_SHINGLE words, null for texts without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = np.fromiter((fingerprint(shingle_hashes(t)) for t in batch.column(0).to_pylist()), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found.view(np.int64))], ["doc_id", *more, "fp"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                fps, bands = [], []
+                for text in batch.column(0).to_pylist():
+                    hashes = shingle_hashes(text)
+                    fps.append(fingerprint(hashes))
+                    if near:
+                        bands.append(lines.banded(lines.least_hashes(_short(longer(hashes)))[None])[0] if len(hashes) else None)
+                columns = [*batch.columns[1:], pa.array(np.array(fps, np.uint64).view(np.int64))]
+                if near:
+                    columns.append(pa.array(bands, pa.list_(pa.int64())))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", *more, "fp", *["bands"] * near])
 
     rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").cast("long").alias("doc_id"), *more)
-    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", *more, "fp")))
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", *more, "fp")) + ", bands array<long>" * near)
+
+
+def _short(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(32)).astype(np.uint32)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -168,17 +191,18 @@ def word_shingles(text: str) -> set[bytes]:
     return {b" ".join(words[k : k + NEAR_SHINGLE]) for k in range(max(1, len(words) - NEAR_SHINGLE + 1))}
 
 
-def word_signatures(texts: list[str]) -> np.ndarray:
-    """The bucket numbers of each text's bands. Texts have words."""
-    return lines.banded(np.array([lines.least_hashes((shingle_hashes(t, NEAR_SHINGLE) >> np.uint64(32)).astype(np.uint32)) for t in texts]))
+def word_numbers(texts: list[str]) -> list[np.ndarray]:
+    """The distinct hashes of each text's runs of NEAR_SHINGLE words, ascending."""
+    return [np.unique(longer(shingle_hashes(t, NEAR_SHINGLE - 1))) for t in texts]
 
 
 def near_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """docs: (text); rows: (tie, fp), tie the text's xxhash64. Links (a, b) of fingerprints whose texts have an exact
-    Jaccard similarity of NEAR or more over shingles and share a MinHash band, as many as connect them."""
-    texts = docs.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(F.xxhash64("text").alias("key"), F.col("text").alias("line"))
-    found = lines.families(texts, NEAR, word_shingles, word_signatures)
+    """docs: (text); rows: (tie, fp, bands), tie the text's xxhash64. Links (a, b) of fingerprints whose texts have an
+    exact Jaccard similarity of NEAR or more over shingles and share a MinHash band, as many as connect them."""
     of = rows.select("tie", "fp").distinct()
+    signed = rows.filter("bands is not null").select(F.explode("bands").alias("bucket"), F.col("tie").alias("key")).distinct()
+    texts = lambda bits: docs.select(F.xxhash64("text").alias("key"), F.coalesce("text", F.lit("")).alias("line")).filter(lines.maybe(F.col("key"), bits, docs.sparkSession))
+    found = lines.families(signed, texts, NEAR, word_shingles, word_numbers)
     to = lambda c: of.select(F.col("tie").alias(c), F.col("fp").alias(f"{c}_fp"))
     return found.join(to("node"), "node").join(to("component"), "component").select(F.col("node_fp").alias("a"), F.col("component_fp").alias("b")).distinct()
 
@@ -186,16 +210,17 @@ def near_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs without all but one document of each component: that with the smallest doc_id (null after all
     others), and among rows with one id that with the smallest hash of its text; of repeated rows, one. Different
-    texts that share an id, or have none, are documents of their own: each counts in its text's component.
+    texts that share an id, or have none, are documents of their own: each counts in its text's component. Null and
+    empty texts are one component; an empty table gives an empty result; other columns stay as they are.
 
     Linked are documents whose fingerprints differ in LIMIT bits or fewer, as in near_duplicates, and those whose
     shingles of NEAR_SHINGLE words are alike."""
     tie = F.xxhash64("text")
-    rows = staged(_fingerprinted(docs.select("doc_id", "text", tie.alias("tie")), "tie"), "simhash")
+    rows = staged(_fingerprinted(docs.select("doc_id", "text", tie.alias("tie")), "tie", near=True), "simhash")
     found = components(links(rows.select("fp").distinct()).union(near_links(docs, rows)))
     first = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("first"))
     named = first.join(found, first["fp"] == found["node"], "left").select("first", F.coalesce("component", "fp").alias("component"))
-    kept = named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_kept"), F.col("first.tie").alias("_tie"))
-    out = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")) & (tie == F.col("_tie")))
-    order = W.partitionBy("_kept", "_tie").orderBy("_tie")
-    return out.withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").select(*docs.columns)
+    of, at, nth = (fresh(docs, n) for n in ("kept", "tie", "nth"))
+    kept = named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias(of), F.col("first.tie").alias(at))
+    out = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(of)) & (tie == F.col(at)))
+    return out.withColumn(nth, F.row_number().over(W.partitionBy(of, at).orderBy(at))).filter(F.col(nth) == 1).select(*docs.columns)
