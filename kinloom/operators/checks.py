@@ -7,6 +7,7 @@ the same cached lines. Rules by line or by record use windows inside a record; r
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from kinloom.functions import dates, text
 from kinloom.sources import lineage as L
+from kinloom.staging import staged
 
 # Fixed values of the format and of the rules.
 MAX_LINE, MAX_XREF, MAX_OCCU, SHORT_CONC, MAX_CITATIONS = 255, 22, 120, 5, 10
@@ -69,6 +71,17 @@ class Scan:
         return self.people.select("file_id", "xref", "sex").join(years, ["file_id", "xref"], "left")
 
 
+    def kept(self) -> Scan:
+        """A scan whose tables are written to the shared folder once and read back, so that rules neither compute
+        them again nor carry their plans. Tables are written side by side."""
+        out = Scan(staged(self.lines, "lint-lines"), self.as_of_year)
+        for names in (("kids", "events", "people", "families", "edges", "citations"), ("vitals",)):
+            with ThreadPoolExecutor(len(names)) as pool:
+                tables = list(pool.map(lambda n: staged(getattr(out, n), f"lint-{n}"), names))
+            out.__dict__.update(zip(names, tables))
+        return out
+
+
 Rule = Callable[[Scan], DataFrame]
 RULES: dict[str, tuple[str, Rule]] = {}
 
@@ -86,8 +99,14 @@ def found(df: DataFrame, detail: Column | str = "value", lineno: str = "lineno",
     return df.select("file_id", F.col(lineno).cast("long").alias("lineno"), F.coalesce(F.col(xref), F.lit("")).alias("xref"), F.coalesce(detail.cast("string"), F.lit("")).alias("detail"))
 
 
+#: Rules that see one line at a time: severity, test and detail. ``violations`` takes them all in one pass.
+LINE_RULES: dict[str, tuple[str, Callable[[], Column], Callable[[], Column]]] = {}
+
+
 def line_rule(name: str, test: Callable[[], Column], severity: str = "WARNING", detail: Callable[[], Column] | str = "value") -> None:
-    RULES[name] = (severity, lambda s: found(s.lines.filter(test()), detail if isinstance(detail, str) else detail()))
+    said = (lambda: F.col(detail)) if isinstance(detail, str) else detail
+    LINE_RULES[name] = (severity, test, said)
+    RULES[name] = (severity, lambda s: found(s.lines.filter(test()), said()))
 
 
 def _tag(*tags: str) -> Column:
@@ -523,10 +542,34 @@ def starts_and_ends(s: Scan) -> DataFrame:
     return found(rows.withColumn("bad", F.explode(bad)), "bad", "lineno", "none")
 
 
+#: Rules between lines or records that are planned together, and how many such groups run at a time.
+GROUP, AT_A_TIME = 8, 4
+
+
+def line_violations(lines: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """(check, severity, file_id, lineno, xref, detail) of rules that see one line at a time, in one pass."""
+    hit = lambda n, sev, test, said: F.when(test(), F.struct(F.lit(n).alias("check"), F.lit(sev).alias("severity"), F.coalesce(said().cast("string"), F.lit("")).alias("detail")))
+    hits = F.explode(F.array_compact(F.array(*[hit(n, *LINE_RULES[n]) for n in names])))
+    rows = lines.select("file_id", "lineno", F.coalesce("rec_xref", F.lit("")).alias("xref"), hits.alias("hit"))
+    return rows.select("hit.check", "hit.severity", "file_id", F.col("lineno").cast("long").alias("lineno"), "xref", "hit.detail")
+
+
 def violations(scan: Scan, names: tuple[str, ...] = ()) -> DataFrame:
-    """(check, severity, file_id, lineno, xref, detail) of the named rules, or of all."""
-    parts = [f(scan).select(F.lit(n).alias("check"), F.lit(sev).alias("severity"), "file_id", "lineno", "xref", "detail") for n, (sev, f) in RULES.items() if not names or n in names]
-    return reduce(DataFrame.unionByName, parts)
+    """(check, severity, file_id, lineno, xref, detail) of the named rules, or of all. Rules by line take one pass;
+    the others run in groups over tables that are made once, and each group's rows are written to the shared folder,
+    so that no plan grows with the number of rules."""
+    wanted = [n for n in RULES if not names or n in names]
+    single, others = [n for n in wanted if n in LINE_RULES], [n for n in wanted if n not in LINE_RULES]
+    if len(others) > GROUP:
+        scan = scan.kept()
+    parts = [RULES[n][1](scan).select(F.lit(n).alias("check"), F.lit(RULES[n][0]).alias("severity"), "file_id", "lineno", "xref", "detail") for n in others]
+    groups = [reduce(DataFrame.unionByName, parts[k : k + GROUP]) for k in range(0, len(parts), GROUP)]
+    if single:
+        groups.append(line_violations(scan.lines, tuple(single)))
+    if len(others) > GROUP:
+        with ThreadPoolExecutor(AT_A_TIME) as pool:
+            groups = list(pool.map(lambda df: staged(df, "lint-found"), groups))
+    return reduce(DataFrame.unionByName, groups)
 
 
 def severity_summary(scan: Scan, names: tuple[str, ...] = ()) -> DataFrame:
