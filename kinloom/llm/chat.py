@@ -7,7 +7,8 @@ each turn: its segments, joined in order, are the formatted conversation, so tha
 very many turns is never gathered to be formatted.
 
 Segment: ``<|im_start|>ROLE\\nBODY<|im_end|>\\n``. A control string starts with ``<|``, and no escaped text
-holds one: between ``<`` and ``|`` there is always a backslash, one more than in the text itself.
+holds one: between ``<`` and ``|`` there is always a backslash, one more than in the text itself. Neighbouring text
+parts are escaped as the one text that they become, so that no control string comes of several parts.
 """
 
 from __future__ import annotations
@@ -55,9 +56,16 @@ def _is_media(p: Column) -> Column:
     return F.coalesce(p["kind"].isin(*KINDS), F.lit(False))
 
 
-def _visit(p: Column) -> Column:
-    """A part as it stands in the body. Kinds that have no handler are text."""
-    return F.when(_is_media(p), F.concat(F.lit("<|"), p["kind"], F.lit("|>"))).otherwise(escape(F.coalesce(p["text"], F.lit(""))))
+def _body(parts: Column) -> Column:
+    """The parts as they stand in the body, in order: runs of text escaped, media as placeholders. Kinds that have no
+    handler are text."""
+    state = lambda done, run: F.struct(done.alias("done"), run.alias("run"))
+
+    def visit(s: Column, p: Column) -> Column:
+        placeholder = F.concat(s["done"], escape(s["run"]), F.lit("<|"), p["kind"], F.lit("|>"))
+        return F.when(_is_media(p), state(placeholder, F.lit(""))).otherwise(state(s["done"], F.concat(s["run"], F.coalesce(p["text"], F.lit("")))))
+
+    return F.aggregate(parts, state(F.lit(""), F.lit("")), visit, lambda s: F.concat(s["done"], escape(s["run"])))
 
 
 def format_turns(messages: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
@@ -73,7 +81,7 @@ def format_turns(messages: DataFrame, loss_roles: tuple[str, ...] = ("assistant"
     """
     parts = F.coalesce(F.col("parts"), F.array().cast(f"array<{PART}>"))
     rows = messages.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), parts.alias("parts"))
-    rows = rows.select("*", F.array_join(F.transform("parts", _visit), "").alias("body"), F.filter("parts", _is_media).alias("media"))
+    rows = rows.select("*", _body(F.col("parts")).alias("body"), F.filter("parts", _is_media).alias("media"))
     head = F.concat(F.lit(START), _role_out(F.col("role")), F.lit("\n"))
     masked = F.col("role").isin(*loss_roles)
     attached = F.transform("media", lambda p, i: F.struct(i.alias("ordinal"), p["kind"].alias("kind"), p["uri"].alias("uri"), _tokens(p).alias("tokens")))
