@@ -15,13 +15,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinloom.llm.common import BLANKS, WORD, bind, staged
+from kinloom.llm.common import BLANKS, WORD, bind, fresh, staged
 
 WEIGHTS = (3, 1, 2)
 RATIO = 1.5
 CAP = 2
 BLOCK = 32
 SHARD_SLOTS = 4096
+#: Slots that a task makes, and how many tasks make them at most.
+TASK_SLOTS, MOST_TASKS = 1 << 19, 100_000
 #: Steps of cycle walking. Up to 400 blocks as many always suffice; beyond, one step leaves the range
 #: with a chance under 1/20, so that 20 steps do with a chance under 1e-26.
 WALK = 20
@@ -124,7 +126,9 @@ def slots(targets: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS
     tail = lack.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("quota") - F.col("drew") - 1) / shard_slots).cast("int"))))
     base = F.col("drew") + F.col("part") * shard_slots
     tail = tail.select((F.col("part") + shards).cast("long").alias("shard"), "rank", "n", base.alias("base"), F.least(base + shard_slots, F.col("quota")).alias("end"))
-    each = taken.unionByName(tail).select("shard", "rank", "n", F.explode(F.sequence(F.col("base"), F.col("end") - 1)).alias("k"))
+    # a row becomes a shard's slots: dealt out before, since the counts are few and small
+    runs = taken.unionByName(tail).repartition(min(MOST_TASKS, total // TASK_SLOTS + 1), "shard")
+    each = runs.select("shard", "rank", "n", F.explode(F.sequence(F.col("base"), F.col("end") - 1)).alias("k"))
     turn = F.floor(F.col("k") / F.col("n"))
     return each.select("shard", "rank", "k", turn.alias("turn"), _permuted(F.pmod(F.col("k"), F.col("n")), F.col("n"), F.lit(seed), F.col("rank"), turn).alias("block"))
 
@@ -166,16 +170,18 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     break and those of the second. Documents of which the mix takes nothing go; other columns stay as they
     are but n_chars, if there, is the new length."""
     _, plan = mix(docs, **options)
-    parts = F.sort_array(F.collect_list(F.struct("turn", "first", "words")))
+    runs = F.sort_array(F.collect_list(F.struct("turn", "first", "words")))
     # places are unique for rows that hold words, so repeated rows stay apart by their number among equals
-    parts = plan.groupBy("rank", "start", "doc_id", "tie").agg(parts.alias("parts"))
-    nth = lambda *by: F.row_number().over(W.partitionBy("doc_id", "tie").orderBy(*by))
-    parts = parts.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), nth("rank", "start").alias("_nth"), "parts")
-    rows = docs.withColumn("_tie0", F.xxhash64("text")).withColumn("_nth0", F.row_number().over(W.partitionBy(F.col("doc_id").cast("long"), "_tie0").orderBy(F.col("source").asc_nulls_last())))
-    rows = rows.join(parts, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_tie0") == F.col("_tie")) & (F.col("_nth0") == F.col("_nth")))
+    number = lambda *by: F.row_number().over(W.partitionBy("doc_id", "tie").orderBy(*by))
+    held = plan.groupBy("rank", "start", "doc_id", "tie").agg(runs.alias("runs")).withColumn("nth", number("rank", "start"))
+    of, at, nth, parts, tie, own = (fresh(docs, n) for n in ("id", "tie", "nth", "parts", "text_tie", "own_nth"))
+    held = held.select(F.col("doc_id").alias(of), F.col("tie").alias(at), F.col("nth").alias(nth), F.col("runs").alias(parts))
+    rows = docs.withColumn(tie, F.xxhash64("text"))
+    rows = rows.withColumn(own, F.row_number().over(W.partitionBy(F.col("doc_id").cast("long"), tie).orderBy(F.col("source").asc_nulls_last())))
+    rows = rows.join(held, F.col("doc_id").cast("long").eqNullSafe(F.col(of)) & (F.col(tie) == F.col(at)) & (F.col(own) == F.col(nth)))
 
     def build(words: Column) -> Column:
-        one = lambda turn: F.array_join(F.transform(F.filter("parts", lambda p: p["turn"] == turn), lambda p: F.array_join(F.slice(words, (p["first"] + 1).cast("int"), p["words"].cast("int")), "")), "")
+        one = lambda turn: F.array_join(F.transform(F.filter(parts, lambda p: p["turn"] == turn), lambda p: F.array_join(F.slice(words, (p["first"] + 1).cast("int"), p["words"].cast("int")), "")), "")
         return F.array_join(F.filter(F.array(*[one(t) for t in range(CAP)]), lambda t: t != ""), "\n")
 
     text = bind(F.regexp_extract_all("text", F.lit(PIECE), F.lit(0)), build)
