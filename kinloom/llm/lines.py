@@ -37,6 +37,8 @@ CHUNK = 1 << 16
 SEEN = 200_000
 #: Lines and characters of a block; a bucket of more is walked by pairs of blocks.
 BLOCK, BLOCK_CHARS = 2_000, 1 << 19
+#: Entries of the table of lines and shingles that a small block is walked with.
+DENSE = 1 << 18
 #: Shingles are counted by 64-bit hashes; a similarity this near the threshold, in shingles, is counted by the
 #: shingles themselves.
 MARGIN = 4
@@ -282,8 +284,14 @@ def _walk(keys: np.ndarray, parts: np.ndarray, lines: list[str], similarity: flo
     sizes = np.fromiter(map(len, hashes), np.int64, len(hashes))
     every = np.unique(np.concatenate(hashes), return_inverse=True)[1]
     sets = np.split(every, np.cumsum(sizes)[:-1])
-    owners = np.repeat(np.arange(len(sets)), sizes)[np.argsort(every, kind="stable")]
-    starts = np.concatenate([[0], np.cumsum(np.bincount(every))])
+    owners = np.repeat(np.arange(len(sets)), sizes)
+    dense = len(sets) * (int(every.max()) + 1) <= DENSE
+    if dense:  # a row of ones for each line: shared shingles by products
+        table = np.zeros((len(sets), int(every.max()) + 1), np.float32)
+        table[owners, every] = 1
+    else:
+        owners = owners[np.argsort(every, kind="stable")]
+        starts = np.concatenate([[0], np.cumsum(np.bincount(every))])
     _, part, members = np.unique(parts, return_inverse=True, return_counts=True)
     of = [[] for _ in members]
     for k, p in enumerate(part.tolist()):
@@ -297,7 +305,10 @@ def _walk(keys: np.ndarray, parts: np.ndarray, lines: list[str], similarity: flo
         left[of[start]] = False
         while queue and left.any():
             at = queue.pop()
-            both = np.bincount(np.concatenate([owners[starts[x] : starts[x + 1]] for x in sets[at].tolist()]), minlength=len(sets))
+            if dense:
+                both = table @ table[at]
+            else:
+                both = np.bincount(np.concatenate([owners[starts[x] : starts[x + 1]] for x in sets[at].tolist()]), minlength=len(sets))
             over = both - similarity * (sizes + sizes[at] - both)
             for k in np.flatnonzero(left & (over >= -MARGIN)).tolist():
                 if not reached[part[k]] and (over[k] > MARGIN or alike_exactly(lines[at], lines[k], similarity, shingles)):
