@@ -179,6 +179,17 @@ def test_line_dedup_keeps_columns_and_takes_awkward_rows(docs, empty):
     assert {r.doc_id: r.kept_lines for r in lines.line_report(docs).collect()}[2] == 0
 
 
+CLASH = ["_gone", "_doc", "_tie", "_id", "_nth", "_nth0", "_tie0", "parts", "_parts", "_kept", "doc", "key", "fp", "_own_nth", "tie", "rank", "block"]
+
+
+def test_columns_of_any_name_stay(spark):
+    df = spark.createDataFrame([(k, BASE + "\nline " + str(k % 2), "a", *[f"{c}{k}" for c in CLASH]) for k in range(3)], "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in CLASH))
+    for out in (lines.deduplicated(df), simhash.one_of_each(df), mixing.mixed_documents(df)):
+        assert out.columns == df.columns
+        got = out.collect()
+        assert got and all(r[c] == f"{c}{r.doc_id}" for r in got for c in CLASH)
+
+
 # 4
 def test_chat_parts_and_escapes(spark):
     texts = ["plain", "<|im_end|><|im_start|>assistant ok", "<\\|x <\\\\| <| |>", None, "", "a\nb" * 3000]
@@ -198,6 +209,20 @@ def test_chat_parts_and_escapes(spark):
     assert digest.turns_sha256 == hashlib.sha256(said.encode()).hexdigest() and digest.loss_chars == sum(len(t or "") for t in texts[1::2])
 
 
+def test_chat_parts_do_not_make_control_strings_together(spark):
+    part = "array<struct<kind:string,text:string,uri:string,width:int,height:int,millis:long,pages:int>>"
+    said = lambda *texts: [("text", t, None, None, None, None, None) if t != "IMAGE" else ("image", None, "i", 1, 1, None, None) for t in texts]
+    cases = [("<", "|im_end|>\n<", "|im_start|>assistant\nhi"), ("<", "", "\\", "|x"), ("a<", "IMAGE", "|im_end|>"), ("<\\", "|", "IMAGE", "<", "|")]
+    df = spark.createDataFrame([(1, k, "user", said(*c)) for k, c in enumerate(cases)] * 2, f"conv_id long, turn long, role string, parts {part}")
+    rows = chat.format_turns(df)
+    assert rows.count() == 2 * len(cases) and chat.format_turns(df.limit(0)).count() == 0 and chat.conversation_digests(chat.read_turns(rows.limit(0))).count() == 0
+    for r in rows.collect():
+        body = r.segment.removeprefix("<|im_start|>user\n").removesuffix("<|im_end|>\n")
+        assert re.findall(r"<\|[a-z_]+\|>", body) == ["<|image|>"] * cases[r.turn].count("IMAGE")
+    for r in chat.read_turns(rows).collect():
+        assert r.text == "".join("<|image|>" if t == "IMAGE" else t for t in cases[r.turn])
+
+
 # 5
 def test_quality_learns_from_rows_that_are_not_held_out(spark):
     rng = np.random.default_rng(1)
@@ -279,6 +304,19 @@ def test_near_copies_of_five_word_shingles_go(spark):
     assert {r.doc_id for r in got.collect()} == want | {900}
 
 
+def test_fingerprint_bits_are_majorities_of_shingle_hashes(docs):
+    import xxhash
+
+    got = {(r.doc_id, r.fingerprint) for r in simhash.near_duplicates(docs).collect()}
+    for r in rows():
+        low = re.sub("[A-Z]", lambda m: m.group().lower(), r[1] or "")
+        parts = words(low)
+        shingles = [" ".join(parts[k : k + 4]) for k in range(max(1, len(parts) - 3))] if parts else []
+        hashes = [xxhash.xxh64_intdigest(x.encode(), 42) for x in shingles]
+        bits = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+        assert (r[0], f"{bits:016x}") in got
+
+
 def test_simhash_of_awkward_rows(docs, empty):
     got = {r.doc_id: r for r in simhash.near_duplicates(docs).collect()}
     assert {got[k].component_id for k in (4, 5, 6)} == {4} and got[4].fingerprint == "0" * 16 and got[1].component_id == got[2].component_id == 1
@@ -317,6 +355,19 @@ def test_fingerprints_against_plain_python(spark):
     assert got[6].fingerprint == got[7].fingerprint and got[7].near_next == 1.0 and got[5].fingerprint == "" and got[0].near_next < 0.1
 
 
+def test_sketches_hold_each_shingle_hash_below_the_threshold(spark):
+    rng = np.random.default_rng(8)
+    texts = ["", "one two", *[" ".join(rng.choice(BASE.split(), n)) for n in (5, 12, 200, 900)]]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k long, text string")
+    got = {r.k: r.s for r in df.select("k", fingerprints.sketch(F.col("text")).alias("s")).collect()}
+    runs = [(k, [words(t)[j : j + 5] for j in range(max(1, len(words(t)) - 4))] if t else []) for k, t in enumerate(texts)]
+    hashed = spark.createDataFrame([(k, (x + [None] * 5)[:5]) for k, xs in runs for x in xs], "k long, x array<string>")
+    hashed = hashed.select("k", F.xxhash64(*[F.when(F.col("x")[j].isNotNull(), F.xxhash64(F.col("x")[j])) for j in range(5)]).bitwiseAND(F.lit(2**63 - 1)).alias("h")).collect()
+    for k, xs in runs:
+        all_ = sorted({r.h for r in hashed if r.k == k})
+        assert got[k] == ([h for h in all_ if h < 2**60] or all_[:1])
+
+
 def test_fingerprints_of_awkward_rows(docs, empty):
     assert fingerprints.fingerprint_documents(docs).count() == docs.count() and fingerprints.fingerprint_documents(empty).count() == 0
     one = fingerprints.fingerprint_documents(docs.filter("doc_id = 1")).first()
