@@ -12,27 +12,32 @@ from kinloom.llm.queries import tokenizer_file
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go; the others stay as they are."""
+    """Documents that the classifier rejects go; the others stay as they are. Null and empty texts have the score
+    of the sample at large, so they go or stay together; repeated rows share their text's fate; without labels, and
+    without documents, none is scored good."""
     return quality.good_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal and alike lines the first stays. A document that loses all its lines stays, empty."""
+    """Of equal and alike lines the first stays: by doc_id (null last), then by the text's hash, then by line. A document
+    that loses all its lines stays, empty; null and empty texts and blank lines stay; repeated rows come out alike."""
     return lines.deduplicated(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the document with the smallest id stays."""
+    """Of each component of near-duplicates the document with the smallest id stays (null last; ties by the text's hash;
+    of repeated rows one). Null, empty and wordless texts are one component."""
     return simhash.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts are what the mix takes of each document; those of which it takes nothing go."""
+    """Texts are what the mix takes of each document; those of which it takes nothing, empty and null ones too, go. A null
+    source is a source; each row has its own share, repeated or not."""
     return mixing.mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and digests of the ids and of the decoded text."""
+    """doc_id, n_tokens and digests of the ids and of the decoded text, a row for each row; null text counts as empty."""
     return pieces.digests(pieces.encoded(docs, tokenizer_file("piece_bpe_32k.model")))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def work_dir(spark: SparkSession, tag: str) -> str:
-    """A new folder in ``spark.checkpoint.dir``. Only where that is unset, as in tests, a folder of this machine
-    serves instead."""
+    """A new folder in ``spark.checkpoint.dir``. Where that is unset, a folder of this machine serves a session that
+    is this machine alone; on a cluster it is an error."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: it has to name a folder that the cluster shares")
         base = getattr(spark.sparkContext, "_kinloom_dir", None) or "file://" + tempfile.mkdtemp(prefix="kinloom-")
         spark.sparkContext._kinloom_dir = base
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
