@@ -82,21 +82,21 @@ def trees(people: DataFrame, links: DataFrame) -> DataFrame:
     return own.groupBy("component").agg(F.count("*").alias("size"))
 
 
-def cycles(parents: DataFrame, longest: int = 40) -> DataFrame:
-    """parents: (child, parent). Everyone who is their own ancestor by a way of ``longest`` steps at most: delta
-    joins over distinct pairs, so that what is known is not walked again."""
+def cycles(parents: DataFrame) -> DataFrame:
+    """parents: (child, parent). Everyone who is their own ancestor, however long the way: reach doubles in each
+    round over distinct pairs, until it no longer grows."""
     start = parents.select(V("child").alias("a"), V("parent").alias("b")).filter("b is not null").distinct()
     # only nodes with both a parent and a child can be on a cycle; pruning leaves little to walk
     before = -1
     while (n := start.count()) != before and n:
         before = n
         start = staged(start.join(start.select(V("b").alias("a")).distinct(), "a", "left_semi").join(start.select(V("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"), "cycle-core")
-    known, new = start, start
-    for _ in range(longest):
-        new = staged(new.alias("x").join(start.alias("y"), V("x.b") == V("y.a")).select(V("x.a").alias("a"), V("y.b").alias("b")).distinct().join(known, ["a", "b"], "left_anti"), "cycle-new")
-        if not new.head(1):
-            break
-        known = staged(known.union(new), "cycle-known")
+    known, before = start, -1
+    while n != before:
+        before = n
+        further = known.alias("x").join(known.alias("y"), V("x.b") == V("y.a")).select(V("x.a").alias("a"), V("y.b").alias("b"))
+        known = staged(known.union(further).distinct(), "cycle-reach")
+        n = known.count()
     return known.filter("a = b").select(V("a").alias("node"))
 
 

@@ -223,9 +223,14 @@ def match_families(a: DataFrame, b: DataFrame, people: DataFrame) -> DataFrame:
 
 
 def id_map(matches: DataFrame, unmatched: DataFrame, prefix: str = "I") -> DataFrame:
-    """(xref_b, xref_a): matched ids, and new ones in order for those to add."""
-    n = F.row_number().over(W.orderBy("xref_b"))
-    new = unmatched.select("xref_b", F.format_string(f"@{prefix}_MERGE_%04d@", n).alias("xref_a"))
+    """(xref_b, xref_a): matched ids, and new ones in order for those to add: numbered in ranges of ids, after the
+    counts of the ranges before."""
+    dealt = unmatched.select("xref_b").repartitionByRange("xref_b").withColumn("part", F.spark_partition_id())
+    dealt = staged(dealt, "id-ranges")
+    ends = dealt.groupBy("part").agg(F.count("*").alias("n"))
+    ends = ends.select("part", (F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, 0)) - V("n")).alias("before"))
+    n = F.row_number().over(W.partitionBy("part").orderBy("xref_b")) + V("before")
+    new = dealt.join(ends, "part").select("xref_b", F.format_string(f"@{prefix}_MERGE_%04d@", n).alias("xref_a"))
     return matches.select("xref_b", "xref_a").unionByName(new)
 
 

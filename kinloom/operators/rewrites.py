@@ -19,10 +19,13 @@ from kinloom.sources import lineage as L
 
 # Vendor tags, and the tags and types that conversions know.
 VENDOR_TAGS = (
-    "_APID _OID _TID _PID _LKID _MSER _CREA _USER _ORIG _ENCR _ATL _CLON _DATE _PRIM _CROP _LEFT _TOP _WDTH _HGHT _TYPE _WPID _HPID _MTYPE _STYPE _SIZE _DSCR _META _TREE _ENV _MTTAG"
-).split()
+    "_APID", "_OID", "_TID", "_PID", "_LKID", "_MSER", "_CREA", "_USER", "_ORIG", "_ENCR",
+    "_ATL", "_CLON", "_DATE", "_PRIM", "_CROP", "_LEFT", "_TOP", "_WDTH", "_HGHT", "_TYPE",
+    "_WPID", "_HPID", "_MTYPE", "_STYPE", "_SIZE", "_DSCR", "_META", "_TREE", "_ENV", "_MTTAG",
+)
 EVENT_NAMES = {"_MILT": "Military Service", "_SEPR": "Separation"}
 FACT_TYPES = ("Languages", "Literacy", "Politics", "Medical condition")
+PERSON_LINK = r"ancestry\.com/family-tree/person/tree/\d+/person/(\d+)"
 PHYSICAL = {"_HEIG": "Height", "_WEIG": "Weight"}
 
 V = F.col
@@ -202,6 +205,44 @@ def duplicate_names(lines: DataFrame) -> DataFrame:
     return out(without(lines, subtree(lines, names.withColumn("nth", nth).filter("nth > 1").select("file_id", "rec_no", "lineno"))))
 
 
+@fix("duplicate_events")
+def duplicate_events(lines: DataFrame) -> DataFrame:
+    """Births and deaths of a person with one date and place: the first stays, and the source blocks of the others that
+    it has not, each once, go to its end."""
+    e = L.events(lines, ("BIRT", "DEAT")).filter("owner_kind = 'INDI'")
+    same = W.partitionBy("file_id", "rec_no", "tag", F.nullif("date_raw", F.lit("")), F.nullif("place", F.lit("")))
+    e = e.select("file_id", "rec_no", "l1_no", F.min("l1_no").over(same).alias("keeper"), F.count("*").over(same).alias("n")).filter("n > 1")
+    rows = lines.filter("level >= 1").withColumn("l2", L.last_in(F.when(V("level") <= 2, F.struct("lineno", "level", "tag")))).join(e, ["file_id", "rec_no", "l1_no"])
+    group = ["file_id", "rec_no", "keeper"]
+    ends = rows.filter("l1_no = keeper").groupBy(*group).agg(F.max("lineno").alias("end"))
+    cited = rows.filter("l2.level = 2 and l2.tag = 'SOUR'").withColumn("at", V("l2.lineno"))
+    body = F.transform(F.array_sort(F.collect_list(F.struct("lineno", "raw"))), lambda x: x["raw"])
+    blocks = cited.groupBy(*group, "at").agg(body.alias("body"), F.min("l1_no").alias("l1_no"))
+    nth = F.row_number().over(W.partitionBy(*group, "body").orderBy("at"))
+    new = blocks.withColumn("nth", nth).filter("nth = 1 and l1_no <> keeper").join(ends, group)
+    new = new.select("file_id", V("end").alias("lineno"), "at", F.posexplode("body").alias("k", "raw"))
+    new = out(new, V("raw"), F.row_number().over(W.partitionBy("file_id", "lineno").orderBy("at", "k")))
+    gone = rows.filter("l1_no <> keeper").select("file_id", "lineno")
+    return out(without(lines, gone)).unionByName(new)
+
+
+@fix("web_links")
+def web_links(lines: DataFrame) -> DataFrame:
+    """_WLNK blocks: links to a person of the file become ASSO with RELA, others a NOTE."""
+    kid = lambda tag: F.coalesce(F.trim(F.max_by("value", F.when((V("level") == 2) & _tag(tag), V("lineno")))), F.lit(""))
+    heads = lines.filter("level = 1 and tag = '_WLNK'").select("file_id", "rec_no", "l1_no")
+    block = lines.join(heads, ["file_id", "rec_no", "l1_no"])
+    found = block.groupBy("file_id", "l1_no").agg(kid("TITL").alias("title"), kid("NOTE").alias("url"))
+    found = found.withColumn("person", F.regexp_extract("url", PERSON_LINK, 1)).withColumn("target", F.concat(F.lit("@I"), "person", F.lit("@")))
+    there = L.definitions(lines.filter("level is not null")).select("file_id", "target", F.lit(True).alias("there"))
+    found = found.join(there, ["file_id", "target"], "left").withColumn("lineno", V("l1_no"))
+    known, person = F.coalesce("there", F.lit(False)) & (V("person") != ""), V("person") != ""
+    note = F.concat("title", F.when(person, " (person not in tree): ").otherwise(": "), "url")
+    head = F.when(known, line(1, "ASSO", V("target"))).otherwise(line(1, "NOTE", note))
+    rela = out(found.filter(known), line(2, "RELA", F.trim(F.substring_index("title", ":", 1))), 1)
+    return out(without(lines, block)).unionByName(out(found, head)).unionByName(rela)
+
+
 # lines that come
 @fix("nicknames")
 def nicknames(lines: DataFrame) -> DataFrame:
@@ -453,6 +494,6 @@ def delete_person(lines: DataFrame, file_id: str, xref: str) -> DataFrame:
 
 
 def write_lines(after: DataFrame, path: str) -> None:
-    """Each file's lines in order, as text: a folder for each file, in order within it."""
+    """Each file's lines in order, as text: a folder for each file, named by its id in URL encoding, in order within."""
     rows = after.repartitionByRange("file_id", "lineno").sortWithinPartitions("file_id", "lineno", "seq")
-    rows.select(F.regexp_replace("file_id", r"[^A-Za-z0-9._-]+", "_").alias("file"), F.col("raw").alias("value")).write.partitionBy("file").text(path)
+    rows.select(F.url_encode("file_id").alias("file"), F.col("raw").alias("value")).write.partitionBy("file").text(path)

@@ -132,7 +132,7 @@ GRAPH_SQL = {
     "merge_dates": "SELECT id, CASE WHEN sb > sa THEN 'b' ELSE 'a' END AS side FROM (SELECT o_orderkey AS id, list_extract([15, 11, 3, 8, 1, 15, 2, 15], CAST(o_orderkey % 8 + 1 AS INT)) AS sa, list_extract([15, 11, 3, 8, 1, 15, 2, 15], CAST((o_orderkey + 3) % 8 + 1 AS INT)) AS sb FROM orders)",
     "nonstandard_counts": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type",
     "occupations": "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'Tailor ' || doc_id END AS occupation FROM documents",
-    "place_similarity": "SELECT x.n_nationkey AS a, y.n_nationkey AS b, CASE WHEN x.n_nationkey = y.n_nationkey THEN 1.0 WHEN x.n_regionkey = y.n_regionkey THEN 1.0 / 3 ELSE 0.0 END AS score FROM nation x JOIN nation y ON x.n_nationkey % 5 = y.n_nationkey % 5",
+    "place_similarity": "SELECT x.n_nationkey AS a, y.n_nationkey AS b, CASE WHEN x.n_nationkey = y.n_nationkey THEN 1.0 WHEN x.n_regionkey = y.n_regionkey THEN 1.0 / 3 ELSE 0.0 END AS score FROM nation x JOIN nation y ON x.n_regionkey = y.n_regionkey",
     "long_documents": "SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(line) > 255 GROUP BY doc_id",
     "tag_strip": "SELECT page_id, regexp_replace(html, '<[^>]+>', '', 'g') AS text FROM pages",
 }

@@ -40,9 +40,9 @@ def linked_people(lines: DataFrame) -> DataFrame:
     return people.join(one("BIRT", "birth"), "xref", "left").join(one("DEAT", "death"), "xref", "left")
 
 
-def link(a: DataFrame, b: DataFrame, rounds: int = 3) -> DataFrame:
+def link(a: DataFrame, b: DataFrame, rounds: int | None = None) -> DataFrame:
     """a, b: parsed lines of one file each. (xref_a, xref_b, score): a one-to-one choice. After each round the pairs
-    found give family context to the next."""
+    found give family context to the next, until a choice comes again; ``rounds`` stops it before."""
     pa, pb = staged(linked_people(a), "people"), staged(linked_people(b), "people")
     scores = staged(linkage.person_scores(pa, pb), "scores")
     ea, eb = lineage.edges(a), lineage.edges(b)
@@ -55,10 +55,15 @@ def link(a: DataFrame, b: DataFrame, rounds: int = 3) -> DataFrame:
 
     (parents_a, wed_a), (parents_b, wed_b) = kin(ea), kin(eb)
     chosen = linkage.assign(scores, linkage.AUTO)
-    for _ in range(rounds - 1):
+    state = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("xref_a", "xref_b").cast("decimal(38,0)"))).first())
+    seen, n = {state(chosen)}, 1
+    while rounds is None or n < rounds:
         known = chosen.select(F.col("xref_a").alias("m_a"), F.col("xref_b").alias("m_b"))
-        again = linkage.family_context(scores, known, parents_a, parents_b, wed_a, wed_b) if "family" not in scores.columns else linkage.family_context(scores.drop("family"), known, parents_a, parents_b, wed_a, wed_b)
+        again = linkage.family_context(scores.drop("family"), known, parents_a, parents_b, wed_a, wed_b)
         total = sum((F.col(c) * w for c, w in linkage.PERSON.items()), F.lit(0.0))
         total = F.when(F.col("family") <= 0.05, F.least(total, F.lit(0.60))).otherwise(total)
-        chosen = linkage.assign(again.withColumn("score", text.rounded4(total)), linkage.AUTO)
+        chosen, n = linkage.assign(again.withColumn("score", text.rounded4(total)), linkage.AUTO), n + 1
+        if (now := state(chosen)) in seen:
+            break
+        seen.add(now)
     return chosen

@@ -15,8 +15,13 @@ from pyspark.sql.window import WindowSpec
 #: level, cross-reference, tag, value
 GRAMMAR = r"^\s*(\d+)(?:\s+(@[^@]+@))?\s+(\S+)(?: (.*))?$"
 POINTER = r"^@[^@]+@$"
-#: Deepest level that the parent search tells apart.
-DEEPEST = 12
+#: Levels below this have a window each in the search for parents; lines below deeper ones look through a list of those.
+SHALLOW = 6
+#: What the bytes 0x80 to 0x9F mean in code page 1252 (fixed values; five are not used there and stay).
+CP1252 = {
+    0x80: "€", 0x82: "‚", 0x83: "ƒ", 0x84: "„", 0x85: "…", 0x86: "†", 0x87: "‡", 0x88: "ˆ", 0x89: "‰", 0x8A: "Š", 0x8B: "‹", 0x8C: "Œ", 0x8E: "Ž",
+    0x91: "‘", 0x92: "’", 0x93: "“", 0x94: "”", 0x95: "•", 0x96: "–", 0x97: "—", 0x98: "˜", 0x99: "™", 0x9A: "š", 0x9B: "›", 0x9C: "œ", 0x9E: "ž", 0x9F: "Ÿ",
+}
 EVENT_TAGS = (
     "BIRT CHR BAPM DEAT BURI CREM ADOP CONF GRAD OCCU RETI RESI EMIG IMMI NATU CENS EDUC EVEN FACT PROB WILL MARR DIV".split()
 )
@@ -36,12 +41,17 @@ def by_record() -> WindowSpec:
 
 
 def read_raw(spark: SparkSession, path: str, charset: str | None = None) -> DataFrame:
-    """(file_id, lineno, raw) of each file below path. Bytes are decoded by the charset that the file's CHAR line
-    declares (UTF-8 where it declares none); a byte-order mark goes; a file is one task's work."""
+    """(file_id, lineno, raw) of each file below path; a file is one task's work. A byte-order mark decides (UTF-8 or
+    UTF-16) and goes; else the charset that the file's CHAR line declares, ANSI as code page 1252; files that declare
+    none, or UTF-8 without being it, are UTF-8 where their bytes are that, and code page 1252 where not."""
     files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file_id"), "content")
-    declared = F.upper(F.regexp_extract(F.decode("content", "ISO-8859-1"), r"(?m)^\s*1 CHAR +([A-Za-z0-9-]+)", 1))
-    latin = F.lit(charset == "latin-1") if charset else declared.isin("ANSI", "CP1252", "ANSEL")
-    text = F.when(latin, F.decode("content", "ISO-8859-1")).otherwise(F.decode("content", "UTF-8"))
+    bytes_ = F.decode("content", "ISO-8859-1")
+    declared = F.upper(F.regexp_extract(bytes_, r"(?m)^\s*1 CHAR +([A-Za-z0-9-]+)", 1))
+    western = F.translate(bytes_, "".join(map(chr, CP1252)), "".join(CP1252.values()))
+    valid = F.is_valid_utf8(F.col("content").cast("string"))
+    mark = F.upper(F.hex(F.substring("content", 1, 2)))
+    text = F.when(mark.isin("FFFE", "FEFF"), F.decode("content", "UTF-16")).when(F.lit(charset == "latin-1") | (declared == "ANSEL"), bytes_)
+    text = text.when(declared.isin("ANSI", "CP1252") | ~valid, western).otherwise(F.col("content").cast("string"))
     text = F.regexp_replace(F.regexp_replace(text, "^﻿", ""), "\r\n?", "\n")
     rows = files.select("file_id", F.posexplode(F.split(F.regexp_replace(text, "\n\\z", ""), "\n")).alias("n", "raw"))
     return rows.select("file_id", (F.col("n") + 1).cast("long").alias("lineno"), "raw")
@@ -66,9 +76,12 @@ def parse_lines(raw: DataFrame) -> DataFrame:
     rows = rows.withColumn("rec_xref", last_in(F.when(head, F.coalesce("xref", F.lit(""))))).withColumn("rec_tag", last_in(F.when(head, F.col("tag"))))
     rows = rows.withColumn("l1_no", last_in(F.when(F.col("level") == 1, F.col("lineno"))))
     before = by_record().rowsBetween(W.unboundedPreceding, -1)
-    seen = [F.last(F.when(F.col("level") == k, F.col("lineno")), ignorenulls=True).over(before) for k in range(DEEPEST)]
-    above = F.greatest(*[F.when(F.col("level") > k, F.col(f"_{k}")) for k in range(DEEPEST)], F.lit(None).cast("long"))
-    return rows.select("*", *[s.alias(f"_{k}") for k, s in enumerate(seen)]).withColumn("parent_lineno", above).drop(*[f"_{k}" for k in range(DEEPEST)])
+    level = F.col("level")
+    seen = [F.last(F.when(level == k, F.col("lineno")), ignorenulls=True).over(before).alias(f"_{k}") for k in range(SHALLOW)]
+    deep = F.collect_list(F.when(level >= SHALLOW, F.struct("lineno", "level"))).over(before).alias("_deep")
+    above = F.array_max(F.transform(F.filter("_deep", lambda x: x["level"] < level), lambda x: x["lineno"]))
+    parent = F.greatest(*[F.when(level > k, F.col(f"_{k}")) for k in range(SHALLOW)], F.when(level > SHALLOW, above))
+    return rows.select("*", *seen, deep).withColumn("parent_lineno", parent).drop("_deep", *[f"_{k}" for k in range(SHALLOW)])
 
 
 def fold(lines: DataFrame) -> DataFrame:

@@ -249,3 +249,104 @@ def test_all_events_and_attributes_have_ordered_children(spark):
     for k, tag in enumerate(tags):
         at = fixed.index(f"0 @I{k}@ INDI")
         assert fixed[at + 1 : at + 6] == [f"1 {tag}", "2 DATE 1900", "2 SOUR @S1@", "3 PAGE p", "2 NOTE n"]
+
+
+def parsed(spark, text, file_id="f"):
+    rows = [(file_id, k + 1, x) for k, x in enumerate(text.strip().split("\n"))]
+    return lineage.parse_lines(spark.createDataFrame(rows, "file_id string, lineno long, raw string"))
+
+
+def rewritten(lines, name):
+    return [r.raw for r in rewrites.FIXES[name](lines).orderBy("lineno", "seq").collect()]
+
+
+def test_parents_at_any_depth(spark):
+    levels = [*range(16), 9, 14, 3, 20, 8, 7, 7, 12, 1, 8, 0, 5]
+    got = {r.lineno: r.parent_lineno for r in parsed(spark, "\n".join(f"{x} TAG" for x in levels)).collect()}
+    for k, x in enumerate(levels):
+        head = max(j for j in range(k + 1) if levels[j] == 0)
+        above = [j + 1 for j in range(head, k) if levels[j] < x]
+        assert got[k + 1] == (above[-1] if above else None)
+
+
+def test_charsets(spark, tmp_path):
+    text = "0 HEAD\n1 CHAR {}\n0 @I1@ INDI\n1 NOTE it’s “é” – ok\n"
+    for name, charset, codec in (("a", "ANSI", "cp1252"), ("b", "UTF-8", "utf-8"), ("c", "UTF-8", "utf-8-sig"), ("d", "UNICODE", "utf-16"), ("e", "UTF-8", "cp1252"), ("f", "IBMPC", "utf-8")):
+        (tmp_path / name).write_bytes(text.format(charset).encode(codec))
+    got = {(r.file_id[-1], r.raw) for r in lineage.read_raw(spark, str(tmp_path)).filter("lineno in (1, 4)").collect()}
+    assert got == {(n, x) for n in "abcdef" for x in ("0 HEAD", "1 NOTE it’s “é” – ok")}
+
+
+def test_duplicate_events_become_one_with_all_sources(spark):
+    text = """0 @I1@ INDI
+1 BIRT
+2 DATE 1850
+2 SOUR @S1@
+3 PAGE 4
+1 DEAT Y
+1 BIRT
+2 SOUR @S1@
+3 PAGE 4
+2 DATE 1850
+2 SOUR @S2@
+3 PAGE 7
+2 NOTE gone
+1 BIRT
+2 DATE 1851
+1 BIRT
+2 DATE 1850
+2 SOUR @S2@
+3 PAGE 7
+1 DEAT
+2 SOUR @S3@"""
+    want = """0 @I1@ INDI
+1 BIRT
+2 DATE 1850
+2 SOUR @S1@
+3 PAGE 4
+2 SOUR @S2@
+3 PAGE 7
+1 DEAT Y
+2 SOUR @S3@
+1 BIRT
+2 DATE 1851"""
+    assert rewritten(parsed(spark, text), "duplicate_events") == want.split("\n")
+
+
+def test_web_links(spark):
+    url = "https://www.ancestry.com/family-tree/person/tree/5/person/"
+    text = f"""0 @I1@ INDI
+1 _WLNK
+2 TITL Godfather: Karl
+2 NOTE {url}2
+1 SEX F
+1 _WLNK
+2 TITL Other
+2 NOTE {url}77
+0 @I2@ INDI
+1 _WLNK
+2 TITL Page
+2 NOTE https://x.example"""
+    want = ["0 @I1@ INDI", "1 ASSO @I2@", "2 RELA Godfather", "1 SEX F", f"1 NOTE Other (person not in tree): {url}77", "0 @I2@ INDI", "1 NOTE Page: https://x.example"]
+    assert rewritten(parsed(spark, text), "web_links") == want
+
+
+def test_long_cycles_are_found(spark):
+    ring = [(k, (k + 1) % 90) for k in range(90)] + [(200 + k, 201 + k) for k in range(50)]
+    got = graph.cycles(spark.createDataFrame(ring, "child long, parent long"))
+    assert {r.node for r in got.collect()} == set(range(90))
+
+
+def test_files_with_alike_names_are_written_apart(spark, tmp_path):
+    both = parsed(spark, "0 HEAD", "a/b").unionByName(parsed(spark, "0 TRLR", "a_b"))
+    rewrites.write_lines(rewrites.out(both), f"file://{tmp_path}/out")
+    assert len([p for p in (tmp_path / "out").iterdir() if p.name.startswith("file=")]) == 2
+
+
+def test_lint_takes_line_rules_and_others_together(spark):
+    lines = parsed(spark, FILE)
+    scan = checks.Scan(lines)
+    got = {(r.check, r.severity, r.lineno, r.xref, r.detail) for r in checks.violations(scan).collect()}
+    some = ("date_no_year", "date_bad_format", "nickname_in_name", "level_jump", "broken_xref", "duplicate_citation", "date_consistency")
+    want = {(n, checks.RULES[n][0], *r[1:]) for n in some for r in checks.RULES[n][1](scan).collect()}
+    assert want and {g for g in got if g[0] in some} == want and {r.check for r in checks.violations(scan, ("date_no_year", "level_jump")).collect()} <= {"date_no_year", "level_jump"}
