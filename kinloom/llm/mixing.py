@@ -154,7 +154,8 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, block: int = BLO
     low = F.greatest(F.col("block") * block, F.col("start"))
     high = F.least((F.col("block") + 1) * block, F.col("start") + F.col("size"))
     cut = cut.select("rank", "block", "start", "doc_id", "tie", (low - F.col("start")).alias("first"), (high - low).alias("words"))
-    return placed, slots(targets, block, shard_slots, seed).join(cut, ["rank", "block"])
+    # merged by sorting: slots come of few rows, whose size would have them broadcast
+    return placed, slots(targets, block, shard_slots, seed).hint("merge").join(cut, ["rank", "block"])
 
 
 def taken_words(docs: DataFrame, **options) -> DataFrame:
