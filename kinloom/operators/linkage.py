@@ -69,13 +69,21 @@ ALIASES = (
     "sofronia subru subrù",
 )
 CLOSE = 2
+GIVEN = "_given_"
 
 
 def block_keys(people: DataFrame) -> DataFrame:
-    """people: (xref, given, surname). (xref, key): the surname and its words; for those without, the given name."""
-    words = F.filter(F.array_union(F.array("surname"), F.split("surname", " ")), lambda w: (w != "") & ~w.isin(*text.UNKNOWN_NAMES))
-    given = F.concat(F.lit("_given_"), F.substring_index("given", " ", 1))
-    return people.select("xref", F.explode(F.when(F.size(words) > 0, words).otherwise(F.array(given))).alias("key"))
+    """people: (xref, given, surname), husbands (their surnames) if there. (xref, key): the surname and its words; for
+    those without, their husbands' surnames, else the given name."""
+    named = lambda words: F.filter(words, lambda w: (w != "") & ~w.isin(*text.UNKNOWN_NAMES))
+    words = named(F.array_union(F.array("surname"), F.split("surname", " ")))
+    husbands = named(F.coalesce(V("husbands"), F.array().cast("array<string>"))) if "husbands" in people.columns else F.array().cast("array<string>")
+    own = F.when(F.size(words) > 0, words).when(F.size(husbands) > 0, husbands).otherwise(F.array(given_key()))
+    return people.select("xref", F.explode(own).alias("key"))
+
+
+def given_key() -> Column:
+    return F.concat(F.lit(GIVEN), F.substring_index("given", " ", 1))
 
 
 def close_keys(a: DataFrame, b: DataFrame, distance: int = CLOSE) -> DataFrame:
@@ -105,11 +113,50 @@ def close_keys(a: DataFrame, b: DataFrame, distance: int = CLOSE) -> DataFrame:
 
 
 def candidates(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(xref_a, xref_b) of people whose block keys are close."""
+    """(xref_a, xref_b) of people whose surnames' block keys are close; people of b without any meet those of a that
+    are known by their given name."""
     ka, kb = block_keys(a), block_keys(b)
-    near = close_keys(ka.select("key").distinct(), kb.select("key").distinct())
+    by_surname = lambda keys: keys.filter(~V("key").startswith(GIVEN))
+    near = close_keys(by_surname(ka).select("key").distinct(), by_surname(kb).select("key").distinct())
     pairs = ka.select(V("xref").alias("xref_a"), V("key").alias("key_a")).join(near, "key_a").join(kb.select(V("xref").alias("xref_b"), V("key").alias("key_b")), "key_b")
-    return pairs.select("xref_a", "xref_b").distinct()
+    pairs = staged(pairs.select("xref_a", "xref_b").distinct(), "candidates")
+    rest = b.select(V("xref").alias("xref_b"), given_key().alias("key")).filter(V("key") != GIVEN).join(pairs.select("xref_b"), "xref_b", "left_anti")
+    return pairs.unionByName(ka.select(V("xref").alias("xref_a"), "key").join(rest, "key").select("xref_a", "xref_b").distinct())
+
+
+def estimated_births(people: DataFrame, families: DataFrame) -> DataFrame:
+    """people: (xref, year, fams, famc) with the year of birth; families: (xref, husb, wife, chil). (xref, estimate)
+    for people without a year: a spouse's, else of a parent's 27 years later and the first child's 27 years earlier
+    the mean or the one there is. The first two families as a spouse count, and the first as a child."""
+    years = people.filter("year is not null").select(V("xref").alias("indi"), V("year").alias("y"))
+    year_of = lambda df, c: df.join(years.withColumnsRenamed({"indi": c, "y": f"{c}_year"}), c, "left")
+    first = families.select(V("xref").alias("fam"), F.explode("chil").alias("indi")).join(years, "indi").groupBy("fam").agg(F.min("y").alias("first"))
+    known = year_of(year_of(families.select(V("xref").alias("fam"), "husb", "wife"), "husb"), "wife").join(first, "fam", "left")
+    open_ = people.filter("year is null")
+    spouse = F.coalesce(F.when(V("husb") != V("xref"), V("husb_year")), F.when(V("wife") != V("xref"), V("wife_year")))
+    wed = open_.select("xref", F.posexplode(F.slice("fams", 1, 2)).alias("n", "fam")).join(known, "fam")
+    earliest = lambda c: F.min_by(c, F.when(c.isNotNull(), V("n")))
+    wed = wed.groupBy("xref").agg(earliest(spouse).alias("spouse"), (earliest(V("first")) - 27).alias("child"))
+    born = open_.select("xref", F.get("famc", F.lit(0)).alias("fam")).join(known, "fam").select("xref", (F.coalesce("husb_year", "wife_year") + 27).alias("parent"))
+    mean = F.bround((V("parent") + V("child")) / 2, 0).cast("int")
+    return wed.join(born, "xref", "full").select("xref", F.coalesce("spouse", mean, "parent", "child").alias("estimate")).filter("estimate is not null")
+
+
+def husband_surnames(people: DataFrame, families: DataFrame) -> DataFrame:
+    """people: (xref, sex, surname, fams). (xref, husbands): surnames of the husbands in the first two families."""
+    wives = people.filter("coalesce(sex, '') <> 'M'").select("xref", F.explode(F.slice("fams", 1, 2)).alias("fam"))
+    found = wives.join(families.select(V("xref").alias("fam"), V("husb").alias("h")), "fam").join(people.select(V("xref").alias("h"), "surname"), "h")
+    return found.filter("h <> xref").groupBy("xref").agg(F.sort_array(F.collect_set("surname")).alias("husbands"))
+
+
+def lifespan(birth: Column, death: Column, estimate: Column) -> tuple[Column, Column]:
+    """The earliest year of birth and the latest of death that are plausible; null where nothing bounds them."""
+    b, d = birth["year"], death["year"]
+    before, after = (lambda x: F.coalesce(x["qualifier"] == "BEF", F.lit(False))), (lambda x: F.coalesce(x["qualifier"] == "AFT", F.lit(False)))
+    earliest = F.when(b.isNotNull(), F.when(~before(birth), F.when(after(birth), b).otherwise(b - 10)))
+    earliest = earliest.when(d.isNotNull(), F.when(before(death), d - 140).otherwise(d - 100)).otherwise(estimate - 15)
+    latest = F.when(d.isNotNull(), F.when(before(death), d).when(after(death), d + 100).otherwise(F.coalesce(death["year2"], d) + 5))
+    return earliest, latest.when(b.isNotNull(), b + 100).otherwise(estimate + 115)
 
 
 def canonical_given(given: Column) -> Column:
@@ -127,8 +174,11 @@ def event_score(date_a: Column, place_a: Column, date_b: Column, place_b: Column
 
 def person_scores(a: DataFrame, b: DataFrame, family: Column | None = None) -> DataFrame:
     """a, b: (xref, given, surname, sex, birth DATE struct, birth_place, death DATE struct, death_place), names
-    normalized. Scored candidate pairs (xref_a, xref_b, score), vetoed ones left out; family context 0.5 unless given."""
-    side = lambda df, s: df.select(*[V(c).alias(f"{c}_{s}") for c in ("xref", "given", "surname", "sex", "birth", "birth_place", "death", "death_place")])
+    normalized; estimate, a year of birth for those without, if there. Scored candidate pairs (xref_a, xref_b, score),
+    vetoed ones left out; family context 0.5 unless given."""
+    columns = ("xref", "given", "surname", "sex", "birth", "birth_place", "death", "death_place")
+    estimate = lambda df: V("estimate") if "estimate" in df.columns else F.lit(None).cast("int")
+    side = lambda df, s: df.select(*[V(c).alias(f"{c}_{s}") for c in columns], estimate(df).alias(f"estimate_{s}"))
     pairs = candidates(a, b).join(side(a, "a"), "xref_a").join(side(b, "b"), "xref_b")
     whole = F.array_contains(F.split("surname_a", " "), V("surname_b")) | F.array_contains(F.split("surname_b", " "), V("surname_a"))
     pairs = pairs.withColumn("surname", F.greatest(text.indel_ratio("surname_a", "surname_b"), F.when(whole & (V("surname_a") != "") & (V("surname_b") != ""), 0.92).otherwise(0.0)))
@@ -139,16 +189,21 @@ def person_scores(a: DataFrame, b: DataFrame, family: Column | None = None) -> D
     pairs = pairs.withColumn("sex", F.when(~known("sex_a") | ~known("sex_b"), 0.5).when(V("sex_a") == V("sex_b"), 1.0).otherwise(0.0))
     pairs = pairs.withColumn("birth", event_score(V("birth_a"), V("birth_place_a"), V("birth_b"), V("birth_place_b"))).withColumn("death", event_score(V("death_a"), V("death_place_a"), V("death_b"), V("death_place_b")))
     gap = lambda x, y, n: F.coalesce(F.abs(V(x)["year"] - V(y)["year"]) > n, F.lit(False))
-    exact = F.coalesce(V("birth_a")["day"].isNotNull() & V("birth_b")["day"].isNotNull(), F.lit(False))
+    dated = lambda c: V(c)["month"].isNotNull() & V(c)["qualifier"].isNull()
+    exact = F.coalesce(dated("birth_a") & dated("birth_b"), F.lit(False))
+    born = lambda s: F.coalesce(V(f"birth_{s}")["year"], V(f"estimate_{s}"))
+    apart = F.coalesce(F.abs(born("a") - born("b")) > 50, F.lit(False))
+    (first_a, last_a), (first_b, last_b) = (lifespan(V(f"birth_{s}"), V(f"death_{s}"), V(f"estimate_{s}")) for s in "ab")
+    disjoint = F.coalesce(last_a < first_b, F.lit(False)) | F.coalesce(last_b < first_a, F.lit(False))
     earlier = lambda x, y: F.coalesce(V(x)["year"] < V(y)["year"], F.lit(False))
     veto = (
         ((V("sex") == 0.0) & (V("surname") + V("given") + V("birth") + V("death") < 3.4))
-        | ((V("surname_a") != "") & (V("surname_b") != "") & (V("surname") < 0.55)) | gap("birth_a", "birth_b", 50) | (exact & gap("birth_a", "birth_b", 5)) | gap("death_a", "death_b", 25)
-        | earlier("death_a", "birth_b") | earlier("death_b", "birth_a")
+        | ((V("surname_a") != "") & (V("surname_b") != "") & (V("surname") < 0.55)) | apart | (exact & gap("birth_a", "birth_b", 5)) | gap("death_a", "death_b", 25)
+        | earlier("death_a", "birth_b") | earlier("death_b", "birth_a") | disjoint
     )
     pairs = pairs.withColumn("family", F.lit(0.5) if family is None else family)
     total = sum((V(c) * w for c, w in PERSON.items()), F.lit(0.0))
-    undated = V("birth_a").isNull() & V("death_a").isNull() | (V("birth_b").isNull() & V("death_b").isNull())
+    undated = V("birth_a").isNull() & V("death_a").isNull() & V("birth_b").isNull() & V("death_b").isNull()
     score = F.when(undated & (V("family") <= 0.5), F.least(total, F.lit(0.62))).otherwise(total)
     return pairs.filter(~veto).select("xref_a", "xref_b", *PERSON, text.rounded4(score).alias("score"))
 

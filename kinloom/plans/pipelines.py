@@ -31,13 +31,19 @@ def export(spark: SparkSession, path: str, to: str, **options: bool) -> None:
 
 
 def linked_people(lines: DataFrame) -> DataFrame:
-    """People as the linkage takes them: normalized names, sex, first birth and death."""
-    people = lineage.people(lines)
+    """People as the linkage takes them: normalized names, sex, first birth and death, and what their families say:
+    an estimated year of birth, surnames of husbands."""
+    people, families = lineage.people(lines), lineage.families(lines)
+    own = people
     parts = text.name_parts(F.coalesce(F.get("names", F.lit(0)), F.lit("")))
     people = people.select("xref", "sex", parts.alias("p")).select("xref", "sex", text.normal(F.col("p.given")).alias("given"), text.normal(F.col("p.surname")).alias("surname"))
     e = lineage.events(lines, ("BIRT", "DEAT")).filter("nth = 0 and owner_kind = 'INDI'")
     one = lambda tag, name: e.filter(F.col("tag") == tag).select(F.col("owner_xref").alias("xref"), dates.parse_date(F.coalesce("date_raw", F.lit(""))).alias(name), F.col("place").alias(f"{name}_place"))
-    return people.join(one("BIRT", "birth"), "xref", "left").join(one("DEAT", "death"), "xref", "left")
+    people = people.join(one("BIRT", "birth"), "xref", "left").join(one("DEAT", "death"), "xref", "left")
+    people = staged(people.join(own.select("xref", "fams", "famc"), "xref"), "people")
+    estimates = linkage.estimated_births(people.withColumn("year", F.col("birth.year")), families)
+    people = people.join(estimates, "xref", "left").join(linkage.husband_surnames(people, families), "xref", "left")
+    return people.drop("fams", "famc")
 
 
 def link(a: DataFrame, b: DataFrame, rounds: int | None = None) -> DataFrame:

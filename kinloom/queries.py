@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinloom.functions import dates, text
-from kinloom.operators import checks, graph, linkage, rewrites
+from kinloom.operators import checks, graph, households, linkage, rewrites
 from kinloom.plans import check_sql, more_sql, pipelines
 from kinloom.sources import lineage, synthetic
 
@@ -258,6 +258,7 @@ VIEWS: dict[str, Query] = {
     "link_people": q_link,
     "source_scores": q_source_scores,
     "export_minimal": _lines(lambda x: rewrites.export_minimal(x)),
+    "merge_sources": _lines(lambda x: rewrites.changes(x, households.merge_sources(x, "@S8@", "@S16@"))),
     "delete_person": _lines(lambda x: rewrites.changes(x, rewrites.delete_person(x, "f0", "@I8@"))),
 }
 QUERIES |= {f"fix_{name}": _fix(name) for name in rewrites.FIXES} | VIEWS

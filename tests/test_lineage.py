@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinloom.functions import dates, text
-from kinloom.operators import checks, edits, graph, linkage, rewrites
+from kinloom.operators import checks, edits, graph, households, linkage, rewrites
 from kinloom.plans import pipelines
 from kinloom.sources import lineage
 
@@ -350,3 +350,165 @@ def test_lint_takes_line_rules_and_others_together(spark):
     some = ("date_no_year", "date_bad_format", "nickname_in_name", "level_jump", "broken_xref", "duplicate_citation", "date_consistency")
     want = {(n, checks.RULES[n][0], *r[1:]) for n in some for r in checks.RULES[n][1](scan).collect()}
     assert want and {g for g in got if g[0] in some} == want and {r.check for r in checks.violations(scan, ("date_no_year", "level_jump")).collect()} <= {"date_no_year", "level_jump"}
+
+
+FAMILIES = """0 @I1@ INDI
+1 FAMS @F1@
+1 FAMS @F1_MERGE_2@
+1 FAMS @F9@
+0 @I2@ INDI
+1 FAMS @F3@
+0 @I3@ INDI
+1 FAMC @F3@
+0 @I4@ INDI
+1 FAMS @F8@
+0 @F1@ FAM
+1 HUSB @I1@
+1 WIFE @I2@
+1 MARR
+2 DATE 3 MAR 1850
+1 CHIL @I5@
+0 @F1_MERGE_2@ FAM
+1 HUSB @I1@
+1 WIFE @I2@
+1 MARR
+2 DATE 1850
+2 PLAC Oslo
+1 MARR
+2 DATE 1851
+2 SOUR @S1@
+1 DIV
+1 CHIL @I5@
+1 CHIL @I6@
+1 NOTE gone
+1 SOUR @S1@
+2 PAGE 2
+0 @F3@ FAM
+1 HUSB @I1@
+1 WIFE @I2@
+1 CHIL @I3@
+0 @F8@ FAM
+1 HUSB @I4@
+0 @F9@ FAM
+1 HUSB @I1@
+1 WIFE @I7@"""
+
+
+def test_families_of_one_couple_become_one(spark):
+    want = """0 @I1@ INDI
+1 FAMS @F1@
+0 @I2@ INDI
+1 FAMS @F1@
+0 @I3@ INDI
+1 FAMC @F1@
+0 @I4@ INDI
+1 FAMS @F8@
+0 @F1@ FAM
+1 HUSB @I1@
+1 WIFE @I2@
+1 MARR
+2 DATE 3 MAR 1850
+1 CHIL @I5@
+1 MARR
+2 DATE 1851
+2 SOUR @S1@
+1 DIV
+1 CHIL @I6@
+1 CHIL @I3@
+1 SOUR @S1@
+2 PAGE 2
+0 @F8@ FAM
+1 HUSB @I4@"""
+    assert rewritten(parsed(spark, FAMILIES), "duplicate_families") == want.split("\n")
+
+
+def test_families_that_say_nothing_go_unless_they_are_the_only_link(spark):
+    got = rewritten(parsed(spark, FAMILIES), "empty_families")
+    assert got == [x for x in FAMILIES.split("\n") if "@F9@" not in x and "@I7@" not in x and x != "1 HUSB @I1@"][:8] + FAMILIES.split("\n")[9:-3]
+
+
+def test_files_without_duplicate_families_keep_empty_ones(spark):
+    text = "0 @I1@ INDI\n1 FAMS @F1@\n1 FAMC @F2@\n0 @F1@ FAM\n1 HUSB @I1@"
+    assert rewritten(parsed(spark, text), "duplicate_families") == text.split("\n")
+    assert rewritten(parsed(spark, text), "empty_families") == ["0 @I1@ INDI", "1 FAMC @F2@"]
+
+
+def test_one_source_takes_anothers_place(spark):
+    text = """0 @I1@ INDI
+1 BIRT
+2 SOUR @S1@
+3 PAGE 4
+2 SOUR @S2@
+3 PAGE 4
+2 SOUR @S2@
+3 PAGE 5
+1 SOUR @S2@
+2 PAGE 4
+0 @S1@ SOUR
+1 TITL a
+0 @S2@ SOUR
+1 TITL b"""
+    want = ["0 @I1@ INDI", "1 BIRT", "2 SOUR @S1@", "3 PAGE 4", "2 SOUR @S1@", "3 PAGE 5", "1 SOUR @S1@", "2 PAGE 4", "0 @S1@ SOUR", "1 TITL a"]
+    both = parsed(spark, text).unionByName(parsed(spark, text.split("0 @S1@")[0], "g"))
+    after = {f: [r.raw for r in households.merge_sources(both, "@S1@", "@S2@").filter(F.col("file_id") == f).orderBy("lineno", "seq").collect()] for f in "fg"}
+    assert after == {"f": want, "g": text.split("\n")[:10]}
+
+
+def test_media_with_missing_files_go(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a b+c%.jpg").write_bytes(b"x")
+    text = f"""0 @I1@ INDI
+1 OBJE @O1@
+1 OBJE @O2@
+1 OBJE
+2 FILE in/../in/a b+c%.jpg
+1 OBJE
+2 FORM jpg
+3 FILE gone.jpg
+2 TITL t
+1 BIRT
+2 OBJE
+3 FILE
+2 DATE 1850
+1 OBJE
+2 TITL no file
+0 @O1@ OBJE
+1 FILE {tmp_path}/in/a b+c%.jpg
+0 @O2@ OBJE
+1 TITL t
+1 FILE x/gone.jpg
+0 @O3@ OBJE
+1 FILE HTTP://x.example/gone.jpg"""
+    lines = parsed(spark, text)
+    present = households.files_below(spark, str(tmp_path))
+    got = [r.raw for r in households.without_missing_media(lines, present, F.lit(str(tmp_path))).orderBy("lineno", "seq").collect()]
+    all_ = text.split("\n")
+    assert got == [all_[k] for k in (0, 1, 3, 4, 9, 12, 13, 14, 15, 16, 20, 21)]
+    bad = households.missing_media(lines, present, F.lit(str(tmp_path)))
+    assert sorted(r.path for r in bad.collect()) == ["", "gone.jpg", "x/gone.jpg"]
+
+
+def test_births_are_estimated_by_relatives(spark):
+    people = [("w", None, ["f"], []), ("h", 1800, ["f"], ["up"]), ("p", 1770, ["up"], []), ("c", None, [], ["f"]), ("q", None, ["g"], ["f"]), ("d", 1851, [], ["g"]), ("e", 1860, [], ["g"]), ("z", None, ["g2"], []), ("n", None, [], [])]
+    people = spark.createDataFrame(people, "xref string, year int, fams array<string>, famc array<string>")
+    families = spark.createDataFrame([("f", "h", "w", ["c", "q"]), ("g", "q", None, ["e", "d"]), ("up", "p", None, ["h"]), ("g2", None, "z", ["e"])], "xref string, husb string, wife string, chil array<string>")
+    got = {r.xref: r.estimate for r in linkage.estimated_births(people, families).collect()}
+    assert got == {"w": 1800, "c": 1827, "q": 1826, "z": 1833}  # q: the mean of 1827 and 1824, 1825.5, goes to the even year
+
+
+@pytest.mark.parametrize(
+    ("birth", "death", "estimate", "span"),
+    [("1850", "", None, (1840, 1950)), ("BEF 1850", "", None, (None, 1950)), ("AFT 1850", "1900", 1700, (1850, 1905)), ("", "BEF 1512", None, (1372, 1512)), ("", "AFT 1500", None, (1400, 1600)), ("", "BET 1500 AND 1510", None, (1400, 1515)), ("", "", 1700, (1685, 1815)), ("", "", None, (None, None))],
+)
+def test_life_spans(spark, birth, death, estimate, span):
+    first, last = linkage.lifespan(dates.parse_date(F.lit(birth)), dates.parse_date(F.lit(death)), F.lit(estimate).cast("int"))
+    assert tuple(spark.range(1).select(first, last).first()) == span
+
+
+def test_candidates_by_husband_and_given_name(spark):
+    schema = "xref string, given string, surname string, husbands array<string>"
+    a = spark.createDataFrame([("a1", "anna", "", ["berg"]), ("a2", "anna", "", None), ("a3", "eva", "berg", None)], schema)
+    b = spark.createDataFrame([("b1", "anna", "berg", None), ("b2", "anna", "", None), ("b3", "anne", "", None), ("b4", "anna", "", ["bergh"])], schema)
+    got = {tuple(r) for r in linkage.candidates(a, b).collect()}
+    # bergh has five letters and may differ by two edits only from keys of five letters and more
+    assert got == {("a1", "b1"), ("a3", "b1"), ("a2", "b2"), ("a2", "b4")}
