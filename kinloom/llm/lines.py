@@ -13,12 +13,11 @@ the shared folder, and once more for the lines that a bucket pairs.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinloom.llm.common import bind, fresh, staged
@@ -42,22 +41,31 @@ DENSE = 1 << 18
 #: Shingles are counted by 64-bit hashes; a similarity this near the threshold, in shingles, is counted by the
 #: shingles themselves.
 MARGIN = 4
-_BLANKS = re.compile("[\x00-\x20]+")
+_BLANKS = re.compile("[\x00-\x09\x0b-\x20]+")
+#: What stands for a blank line's digest.
+BLANK = bytes(16)
 
 
-def normal(line: str) -> str:
-    """A line as it is compared: lower case, blanks collapsed."""
-    if "  " in line or not line.isprintable():
-        line = _BLANKS.sub(" ", line)
-    return line.strip(" ").lower()
+def normal(text: str) -> list[str]:
+    """The lines of a text as they are compared: lower case, blanks collapsed."""
+    text = text.lower()
+    if "  " in text or not text.replace("\n", "").isprintable():
+        text = _BLANKS.sub(" ", text)
+    return [x.strip(" ") for x in text.split("\n")]
 
 
-def keyed(text: str) -> list[tuple[int, str]]:
-    """The key of each line, a 64-bit hash, and the line as compared; a blank line has key 0 and no text."""
+def keyed(text: str) -> tuple[list[bytes], list[str]]:
+    """128-bit digests of the lines, and the lines as compared; a blank line has the digest BLANK and no text."""
     import xxhash
 
-    digest = xxhash.xxh64_intdigest
-    return [(digest(x.encode(), SEED), x) if x else (0, "") for x in map(normal, text.split("\n"))]
+    digest, rows = xxhash.xxh3_128_digest, normal(text)
+    return [digest(x.encode(), SEED) if x else BLANK for x in rows], rows
+
+
+def halves(digests: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The key of each digest, its first 64 bits, and the other 64, as int64."""
+    wide = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+    return wide[:, 0].copy(), wide[:, 1].copy()
 
 
 def document_key(docs: DataFrame) -> tuple[Column, Column]:
@@ -72,7 +80,8 @@ def shingle_set(line: str) -> set[str]:
 _RANDOM = np.random.default_rng(SEED)
 _FLIP = _RANDOM.integers(0, 1 << 32, BANDS * HASHES, dtype=np.uint32)
 _TIMES = _RANDOM.integers(0, 1 << 32, BANDS * HASHES, dtype=np.uint32) | 1
-_POWERS = _RANDOM.integers(0, 1 << 63, SHINGLE, dtype=np.uint64) | np.uint64(1)
+#: A multiplier for each doubling of a shingle's length, which is a power of two.
+_DOUBLINGS = _RANDOM.integers(0, 1 << 63, SHINGLE.bit_length() - 1, dtype=np.uint64) | np.uint64(1)
 
 
 def _windows(lines: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -88,10 +97,11 @@ def _windows(lines: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
         part = [x if len(x) >= SHINGLE else x.ljust(SHINGLE, "\0") for x in lines[start:stop]]
         sizes = np.fromiter(map(len, part), np.int64, len(part))
         codes = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        n = len(codes) - SHINGLE + 1
-        h = codes[:n] * _POWERS[0]
-        for k in range(1, SHINGLE):
-            h += codes[k : k + n] * _POWERS[k]
+        n, h = len(codes) - SHINGLE + 1, codes
+        for k, times in enumerate(_DOUBLINGS):
+            first = h[: -(1 << k)] * times
+            first += h[1 << k :]
+            h = first
         h ^= h >> np.uint64(31)
         h *= np.uint64(0x9E3779B97F4A7C15)
         ends = np.cumsum(sizes)
@@ -105,12 +115,15 @@ def _windows(lines: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
 
 def signatures(lines: list[str]) -> np.ndarray:
     """The bucket numbers of each line's bands, (lines, BANDS), as int64. Lines are not empty."""
-    out = np.empty((len(lines), BANDS * HASHES), np.uint32)
+    out = np.empty((BANDS * HASHES, len(lines)), np.uint32)
     for start, stop, h, firsts in _windows(lines):
         h = (h >> np.uint64(32)).astype(np.uint32)
+        one = np.empty_like(h)
         for k in range(BANDS * HASHES):
-            out[start:stop, k] = np.minimum.reduceat((h ^ _FLIP[k]) * _TIMES[k], firsts)
-    return banded(out)
+            np.bitwise_xor(h, _FLIP[k], out=one)
+            np.multiply(one, _TIMES[k], out=one)
+            out[k, start:stop] = np.minimum.reduceat(one, firsts)
+    return banded(np.ascontiguousarray(out.T))
 
 
 def shingle_numbers(lines: list[str]) -> list[np.ndarray]:
@@ -141,25 +154,21 @@ def scanned(docs: DataFrame, signed: Callable[[list[str]], np.ndarray] = signatu
     (null for blank ones; checks are second hashes); and key, bands for each line that a task meets first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         long, longs = pa.int64(), pa.list_(pa.int64())
         names = ["doc", "tie", "keys", "checks", "key", "bands"]
-        signed64 = lambda x: np.array(x, np.uint64).view(np.int64)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                keys, checks, ends, new = [], [], [0], {}
+                digests, ends, new = [], [0], {}
                 for text in batch.column(2).to_pylist():
-                    for key, line in keyed(text):
-                        keys.append(key)
-                        checks.append(xxhash.xxh64_intdigest(line.encode(), SEED + 1))
-                        if line and key not in seen:
-                            new.setdefault(key, line)
-                    ends.append(len(keys))
-                blank = np.array(keys, np.uint64) == 0
-                lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(signed64(x), long, mask=blank)) for x in (keys, checks)]
+                    own, rows = keyed(text)
+                    digests += own
+                    ends.append(len(digests))
+                    new |= {d: line for d, line in zip(own, rows) if d not in seen}
+                new.pop(BLANK, None)
+                keys, checks = halves(digests)
+                lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, long, mask=keys == 0)) for x in (keys, checks)]
                 none = pa.nulls(batch.num_rows, long), pa.nulls(batch.num_rows, longs)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists, *none], names)
                 if len(seen) > SEEN:
@@ -169,7 +178,7 @@ def scanned(docs: DataFrame, signed: Callable[[list[str]], np.ndarray] = signatu
                     found = signed(list(new.values()))
                     bands = pa.ListArray.from_arrays(pa.array(np.arange(len(new) + 1, dtype=np.int32) * BANDS), pa.array(found.ravel()))
                     empty = [pa.nulls(len(new), t) for t in (long, long, longs, longs)]
-                    yield pa.RecordBatch.from_arrays([*empty, pa.array(signed64(list(new))), bands], names)
+                    yield pa.RecordBatch.from_arrays([*empty, pa.array(halves(new)[0]), bands], names)
 
     doc, tie = document_key(docs)
     rows = docs.select(doc.alias("doc"), F.coalesce(tie, F.lit(0)).alias("tie"), F.coalesce(docs["text"], F.lit("")).alias("text"))
@@ -181,16 +190,22 @@ def line_texts(docs: DataFrame, bits: bytes) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
+        seen: set[bytes] = set()
+        for whole in batches:
             table = np.frombuffer(shared.value, np.uint8)
-            rows = [x for text in batch.column(0).to_pylist() for x in keyed(text)]
-            there = has_bit(table, np.fromiter((k for k, _ in rows), np.uint64, len(rows)))
-            if len(seen) > SEEN:
-                seen.clear()
-            new = {rows[k][0]: rows[k][1] for k in np.flatnonzero(there).tolist() if rows[k][1] and rows[k][0] not in seen}
-            seen.update(new)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(list(new), np.uint64).view(np.int64)), pa.array(list(new.values()), pa.string())], ["key", "line"])
+            for at in range(0, whole.num_rows, 256):
+                digests, rows = [], []
+                for text in whole.column(0).slice(at, 256).to_pylist():
+                    own, lines = keyed(text)
+                    digests += own
+                    rows += lines
+                there = has_bit(table, halves(digests)[0].view(np.uint64))
+                if len(seen) > SEEN:
+                    seen.clear()
+                new = {digests[k]: rows[k] for k in np.flatnonzero(there).tolist() if rows[k] and digests[k] not in seen}
+                seen.update(new)
+                if new:
+                    yield pa.RecordBatch.from_arrays([pa.array(halves(new)[0]), pa.array(list(new.values()), pa.string())], ["key", "line"])
 
     return docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "key long, line string")
 
@@ -198,9 +213,24 @@ def line_texts(docs: DataFrame, bits: bytes) -> DataFrame:
 def meetings(found: DataFrame) -> DataFrame:
     """found: (bucket, key), repeats allowed. (bucket, key, least, before) for each key but the least of a bucket:
     the bucket's least key and the key before. One shuffle by bucket serves both."""
-    order = W.partitionBy("bucket").orderBy("key")
-    least = F.first("key").over(order.rowsBetween(W.unboundedPreceding, 0))
-    return found.select("bucket", "key", least.alias("least"), F.lag("key").over(order).alias("before")).filter("before < key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the last row of the batch before, and its bucket's least key
+        bucket = key = low = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            b, k = (batch.column(c).to_numpy() for c in (0, 1))
+            new = np.concatenate([[bucket is None or b[0] != bucket], b[1:] != b[:-1]])
+            start = np.maximum.accumulate(np.where(new, np.arange(len(b)), -1))
+            least = np.where(start >= 0, k[start], 0 if low is None else low)
+            before = np.concatenate([[k[0] if key is None else key], k[:-1]])
+            keep = ~new & (before < k)
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (b, k, least, before)], ["bucket", "key", "least", "before"])
+            bucket, key, low = b[-1], k[-1], least[-1]
+
+    rows = found.select("bucket", "key").repartition("bucket").sortWithinPartitions("bucket", "key")
+    return rows.mapInArrow(run, "bucket long, key long, least long, before long")
 
 
 def candidate_pairs(met: DataFrame) -> DataFrame:

@@ -162,6 +162,21 @@ def test_line_dedup_of_stars_and_mixed_families(spark, monkeypatch):
     assert [got.get(k, k) for k in range(len(data))] == [root(k) for k in range(len(data))]
 
 
+def test_meetings_across_batches(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(b), int(k)) for b, k in zip(rng.integers(-3, 4, 400), rng.integers(-60, 60, 400))]
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "7")
+    try:
+        got = sorted(tuple(r) for r in lines.meetings(spark.createDataFrame(rows, "bucket long, key long")).collect())
+        assert lines.meetings(spark.createDataFrame([], "bucket long, key long")).count() == 0
+    finally:
+        spark.conf.set(size, before)
+    keys = {b: sorted({k for c, k in rows if c == b}) for b, _ in rows}
+    assert got == sorted((b, k, ks[0], p) for b, ks in keys.items() for p, k in zip(ks, ks[1:]))
+
+
 def test_line_filter_has_the_keys_at_its_ends(spark):
     size = lines.FILTER_BITS[0]
     keys = spark.createDataFrame([(k,) for k in (0, size + 1, 777, size - 1, -3 * size)], "key long")
