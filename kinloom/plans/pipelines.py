@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinloom.functions import dates, text
-from kinloom.operators import checks, linkage, rewrites
+from kinloom.operators import checks, households, linkage, merging, rewrites
 from kinloom.sources import lineage
 from kinloom.staging import staged
 
@@ -73,3 +73,15 @@ def link(a: DataFrame, b: DataFrame, rounds: int | None = None) -> DataFrame:
             break
         seen.add(now)
     return chosen
+
+
+def merge(a: DataFrame, b: DataFrame, matched: DataFrame, to: str | None = None) -> DataFrame:
+    """a, b: parsed lines of one file each; matched: (xref_b, xref_a) of records of any kind, as ``link``,
+    ``linkage.match_families`` and ``linkage.source_scores`` give them. The merged lines, families of one couple taken
+    together, written if ``to`` is given. Pointers of b to nothing go first, so that none comes to point to a record of a."""
+    b = rewrites.renumbered(staged(rewrites.FIXES["dangling_pointers"](b), "merge-b"))
+    lines = rewrites.renumbered(staged(merging.merged(a, b, merging.whole_map(a, b, matched)), "merged"))
+    out = staged(households.duplicate_families(staged(lines, "merged-lines")), "merged-families")
+    if to:
+        rewrites.write_lines(out, to)
+    return out

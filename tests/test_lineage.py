@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinloom.functions import dates, text
-from kinloom.operators import checks, edits, graph, households, linkage, rewrites
+from kinloom.operators import checks, edits, graph, households, linkage, merging, rewrites
 from kinloom.plans import pipelines
 from kinloom.sources import lineage
 
@@ -512,3 +512,127 @@ def test_candidates_by_husband_and_given_name(spark):
     got = {tuple(r) for r in linkage.candidates(a, b).collect()}
     # bergh has five letters and may differ by two edits only from keys of five letters and more
     assert got == {("a1", "b1"), ("a3", "b1"), ("a2", "b2"), ("a2", "b4")}
+
+
+MERGE_A = """0 HEAD
+1 CHAR UTF-8
+0 @I1@ INDI
+1 NAME Anna /Berg/
+1 SEX
+1 BIRT
+2 DATE ABT 1850
+2 PLAC Bergen
+1 DEAT
+2 DATE 1900
+2 SOUR @S1@
+3 PAGE p. 5
+1 OCCU Tailor
+2 DATE 1870
+1 NOTE Kept
+1 FAMS @F1@
+0 @I2@ INDI
+1 NAME Old /Man/
+0 @F1@ FAM
+1 WIFE @I1@
+0 @S1@ SOUR
+1 TITL Register
+0 TRLR"""
+MERGE_B = """0 HEAD
+0 @I1@ INDI
+1 NAME Ann /Berg/
+1 NAME Anna /Berg/
+1 SEX F
+1 BIRT
+2 DATE 3 MAY 1850
+2 PLAC Bergen, Norway
+1 DEAT
+2 DATE 4 JUN 1900
+2 SOUR @S7@
+3 PAGE p. 5, line 2
+2 SOUR @S8@
+1 OCCU Baker
+2 DATE 1890
+1 NOTE Kept
+1 FAMS @F5@
+0 @I2@ INDI
+1 NAME New /Child/
+1 FAMC @F5@
+0 @F5@ FAM
+1 WIFE @I1@
+1 CHIL @I2@
+0 @S7@ SOUR
+1 TITL The register
+1 AUTH Clerk
+0 @S8@ SOUR
+1 TITL Another
+0 TRLR"""
+MERGED = """0 HEAD
+1 CHAR UTF-8
+0 @I1@ INDI
+1 NAME Anna /Berg/
+1 BIRT
+2 DATE 3 MAY 1850
+2 PLAC Bergen, Norway
+1 DEAT
+2 DATE 4 JUN 1900
+2 SOUR @S1@
+3 PAGE p. 5, line 2
+2 SOUR @S_MERGE_0001@
+1 OCCU Tailor
+2 DATE 1870
+1 NOTE Kept
+1 FAMS @F1@
+1 NAME Ann /Berg/
+2 TYPE AKA
+1 SEX F
+1 OCCU Baker
+2 DATE 1890
+0 @I2@ INDI
+1 NAME Old /Man/
+0 @F1@ FAM
+1 WIFE @I1@
+1 CHIL @I_MERGE_0001@
+0 @S1@ SOUR
+1 TITL Register
+1 AUTH Clerk
+0 @I_MERGE_0001@ INDI
+1 NAME New /Child/
+1 FAMC @F1@
+0 @S_MERGE_0001@ SOUR
+1 TITL Another
+0 TRLR"""
+
+
+def test_whole_files_merge(spark):
+    parsed = lambda t, name: lineage.parse_lines(spark.createDataFrame([(name, k, x) for k, x in enumerate(t.split("\n"), 1)], "file_id string, lineno long, raw string"))
+    a, b = parsed(MERGE_A, "a"), parsed(MERGE_B, "b")
+    matched = spark.createDataFrame([("@I1@", "@I1@"), ("@F5@", "@F1@"), ("@S7@", "@S1@")], "xref_b string, xref_a string")
+    ids = merging.whole_map(a, b, matched)
+    got = [r.raw for r in merging.merged(a, b, ids).orderBy("lineno", "seq").collect()]
+    assert got == MERGED.split("\n")
+    assert [r.raw for r in merging.merged(a, b.limit(0), ids).orderBy("lineno", "seq").collect()] == MERGE_A.split("\n")
+
+
+def test_events_of_both_sides(spark):
+    person = lambda *events: "\n".join(["0 HEAD", "0 @I1@ INDI", *events, "0 TRLR"])
+    parsed = lambda t, name: lineage.parse_lines(spark.createDataFrame([(name, k, x) for k, x in enumerate(t.split("\n"), 1)], "file_id string, lineno long, raw string"))
+    a = person("1 BIRT", "2 DATE 1850", "1 DEAT", "2 DATE 1900", "1 BURI", "2 DATE 2 MAY 1901", "2 PLAC Oslo", "1 RESI", "2 DATE 1880", "1 RESI", "1 EMIG")
+    b = person("1 BIRT", "2 DATE 1840", "2 TYPE x", "1 DEAT", "2 DATE 1890", "2 SOUR @I1@", "1 BURI", "2 DATE ABT 1901", "2 PLAC Oslo, Norway", "1 RESI", "1 RESI", "2 DATE 1880", "1 RESI", "2 DATE 1883", "1 EMIG", "2 DATE 1870")
+    a, b = parsed(a, "a"), parsed(b, "b")
+    ids = spark.createDataFrame([("@I1@", "@I1@")], "xref_b string, xref_a string")
+    got = [r.raw for r in merging.merged(a, b, ids).orderBy("lineno", "seq").collect()]
+    assert got == [
+        "0 HEAD", "0 @I1@ INDI", "1 BIRT", "2 DATE 1850", "1 DEAT", "2 DATE 1890", "2 SOUR @I1@", "1 DEAT", "2 TYPE alternate", "2 DATE 1900", "1 BURI", "2 DATE 2 MAY 1901", "2 PLAC Oslo, Norway",
+        "1 RESI", "2 DATE 1880", "1 RESI", "1 EMIG", "1 BIRT", "2 DATE 1840", "2 TYPE x", "1 RESI", "2 DATE 1883", "1 EMIG", "2 DATE 1870", "0 TRLR",
+    ]
+
+
+def test_merge_takes_couples_together_and_writes(spark, tmp_path):
+    parsed = lambda t, name: lineage.parse_lines(spark.createDataFrame([(name, k, x) for k, x in enumerate(t.split("\n"), 1)], "file_id string, lineno long, raw string"))
+    family = "0 HEAD\n0 @I1@ INDI\n1 FAMS @F1@\n0 @I2@ INDI\n1 FAMS @F1@\n0 @F1@ FAM\n1 HUSB @I1@\n1 WIFE @I2@"
+    a, b = parsed(family + "\n1 MARR\n0 TRLR", "a"), parsed(family + "\n1 CHIL @I3@\n1 CHIL @I9@\n0 @I3@ INDI\n1 FAMC @F1@\n0 TRLR", "b")
+    matched = spark.createDataFrame([("@I1@", "@I1@"), ("@I2@", "@I2@")], "xref_b string, xref_a string")
+    pipelines.merge(a, b, matched, f"file://{tmp_path}/out")
+    got = [r.value for r in spark.read.text(f"file://{tmp_path}/out").collect()]
+    assert sum(x.endswith(" FAM") for x in got) == 1 and "1 CHIL @I_MERGE_0001@" in got and not any("I9" in x for x in got)
+    assert "1 MARR" in got and "1 FAMC @F1@" in got and got[-1] == "0 TRLR"
