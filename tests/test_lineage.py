@@ -211,6 +211,43 @@ def test_linkage_and_source_scores_take_all_files(spark, tmp_path):
     assert {(r.xref_a, r.xref_b) for r in queries.q_source_scores(spark, str(tmp_path)).collect() if r.xref_a == r.xref_b} == {(f"@f{k}:S1@",) * 2 for k in range(3)}
 
 
+def test_sources_are_scored_by_class(spark):
+    """Against all pairs by brute force: titles without words, copies, titles within others, equal prefixes, repeated words."""
+    import random
+    import string
+
+    rng = random.Random(5)
+    words = ["parish", "register", "of", "oslo", "census", "1850", "1860", "boston", "a", "history", "the", "Berlin,", "Oslo,"]
+    titles = ["?", "", "-", "X", "Oslo", "Census 1850, Boston", "The Boston census 1850"] + [" ".join(rng.choices(words, k=rng.randint(1, 6))) for _ in range(60)]
+    rows = [(f"S{k:03}", rng.choice(titles), rng.choice([None, "Nils Berg", "NILS Berg", "N. Berg"]), rng.choice([None, "", "Oslo, 1850"]), rng.choice([None, "@R1@", "@R2@"])) for k in range(180)]
+    rows += [(f"T{k:03}", "Parish register of Oslo", None, None, None) for k in range(60)]
+    ratio = lambda x, y: 1.0 if not x and not y else 0.0 if not x or not y else text._indel(x, y)
+    jaccard = lambda x, y: 1.0 if not x and not y else len(x & y) / len(x | y)
+    tokens = lambda t: {w for w in t.lower().translate(str.maketrans(string.punctuation, " " * 32)).split() if len(w) > 1}
+
+    def score(x, y):
+        s, t = tokens(x[1]), tokens(y[1])
+        p, q = (z[1].split(",")[0].strip().lower() if "," in z[1] else None for z in (x, y))
+        j = jaccard(s, t)
+        title = 0.97 if s and t and (s <= t or t <= s) else (j + text._indel(x[1].lower(), y[1].lower())) / 2 if 0.5 < j < 0.85 else j
+        title = 0.0 if p is not None and q is not None and not (p.startswith(q) or q.startswith(p)) else title
+        author, publisher = (ratio((x[k] or "").lower(), (y[k] or "").lower()) for k in (2, 3))
+        years = jaccard(*({w for w in z if w.isdigit() and len(w) == 4} for z in (s, t)))
+        return round(0.6 * title + 0.15 * author + 0.1 * publisher + 0.1 * years + 0.05 * (0.8 if x[4] and y[4] else 0.0 if x[4] or y[4] else 1.0), 4)
+
+    df = spark.createDataFrame(rows, "xref string, title string, author string, publisher string, repo string")
+    for threshold in (0.85, 0.65):
+        want = {(x[0], y[0]): z for x in rows for y in rows if (z := score(x, y)) >= threshold}
+        pairs = linkage.source_scores(df, df, threshold).collect()
+        assert len(pairs) == len(want) and {(r.xref_a, r.xref_b): r.score for r in pairs} == want
+        links = linkage.source_links(df, threshold).collect()
+        of = {r.xref_a: r.xref_b for r in links if r.kind == "member"}
+        scores = {(r.xref_a, r.xref_b): r.score for r in links if r.kind == "pair"}
+        assert {(x, y): scores[of[x], of[y]] for x in of for y in of if (of[x], of[y]) in scores} == want
+        assert {r.xref_a: r.links for r in links if r.kind == "member"} == {x[0]: sum(k[0] == x[0] for k in want) for x in rows}
+        assert sum(r.links for r in links if r.kind == "pair") == len(want) and len({of[r[0]] for r in rows if r[0] > "T"}) == 1
+
+
 def test_graph(spark, lines):
     e = lineage.edges(lines)
     up = graph.parents_of(e).select("child", "father", "mother")
