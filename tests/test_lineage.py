@@ -174,6 +174,18 @@ def test_assign_is_greedy_by_score(spark):
     assert {(r.xref_a, r.xref_b) for r in got} == expected
 
 
+def test_assign_by_rounds_and_by_one_task_agree(spark):
+    rows = [(f"a{k % 7}", f"b{k % 5}", 0.75 + k % 4 / 100) for k in range(35)]
+    chosen, taken = set(), set()
+    for x, y, score in sorted(rows, key=lambda r: (-r[2], r[0], r[1])):
+        if not {x, y} & taken:
+            taken |= {x, y}
+            chosen.add((x, y, score))
+    df = spark.createDataFrame(rows, "xref_a string, xref_b string, score double")
+    for few in (100, 12, 0):
+        assert {tuple(r) for r in linkage.assign(df, 0.75, few).collect()} == chosen
+
+
 def test_close_keys_are_all_within_two_edits(spark):
     words = ["smith", "smyth", "smithe", "smit", "olsen", "olson", "hansen", "jansen", "johansen", "lee", "lea"]
 
