@@ -34,10 +34,16 @@ FILTER_BITS = (1 << 15, 1 << 27)
 CHUNK = 1 << 16
 #: Lines that a task remembers, so that equal ones are hashed once; it forgets all of them when they are more.
 SEEN = 200_000
+#: Lines whose places a task holds before it tells firsts from repeats; the longs of a packed value; those that a task deals out at once.
+HELD, PACKED, DEALT = 1 << 16, 1 << 17, 1 << 21
+#: Rows of a slot that packed rows are dealt to, and slots: more rows a slot before there are more slots than these,
+#: up to the most rows that a slot has.
+SLOT_ROWS, SLOTS = (1 << 12, 1 << 19), (256, 4096)
 #: Lines and characters of a block; a bucket of more is walked by pairs of blocks.
 BLOCK, BLOCK_CHARS = 2_000, 1 << 19
-#: Entries of the table of lines and shingles that a small block is walked with.
-DENSE = 1 << 18
+#: Bits of the table of lines and shingles that a block is walked with; words of it, all in all, for each two lines that
+#: meet by a shingle; and words up to which all lines are compared with all at once.
+DENSE, DENSER, SQUARE = 1 << 25, 6, 1 << 16
 #: Shingles are counted by 64-bit hashes; a similarity this near the threshold, in shingles, is counted by the
 #: shingles themselves.
 MARGIN = 4
@@ -130,10 +136,20 @@ def shingle_numbers(lines: list[str]) -> list[np.ndarray]:
     """The distinct 64-bit hashes of each line's shingles, ascending."""
     out: list[np.ndarray] = []
     for _, _, h, firsts in _windows(lines):
-        out += [np.unique(x) for x in np.split(h, firsts[1:])]
+        bounds = [*firsts.tolist(), len(h)]
+        out += [ascending(h[a:b]) for a, b in zip(bounds, bounds[1:])]
     return out
 
 
+def ascending(x: np.ndarray) -> np.ndarray:
+    """The distinct values of x, which is put in order, ascending; np.unique hashes them first, which takes longer."""
+    x.sort()
+    new = np.empty(len(x), bool)
+    new[:1] = True
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return x[new]
+
+
 def banded(least: np.ndarray) -> np.ndarray:
     """The bucket numbers of each row's bands. least: (rows, BANDS * HASHES), the least values of a row's hashes."""
     wide = least.reshape(len(least), BANDS, HASHES).astype(np.uint64)
@@ -149,40 +165,172 @@ def least_hashes(hashes: np.ndarray) -> np.ndarray:
     return np.array([((hashes ^ f) * t).min() for f, t in zip(_FLIP, _TIMES)], np.uint32)
 
 
-def scanned(docs: DataFrame, signed: Callable[[list[str]], np.ndarray] = signatures) -> DataFrame:
-    """docs: (doc_id, text). Rows of two kinds: doc, tie, keys, checks for each document, with an entry for each line
-    (null for blank ones; checks are second hashes); and key, bands for each line that a task meets first."""
+def told_apart(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """places: rows of key, check, doc, tie, line_no. The first place of each key and check, and the places after it."""
+    order = np.argsort(places[:, 0], kind="stable")
+    key = places[order, 0]
+    same = np.concatenate([[False], key[1:] == key[:-1]])
+    many = same | np.concatenate([same[1:], [False]])
+    rows = places[order[many]]
+    rows = rows[np.lexsort(rows.T[::-1])]
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[1:, :2] != rows[:-1, :2]).any(axis=1)
+    # a repeated document has its places twice: those are one
+    first = rows[new][np.cumsum(new) - 1]
+    return np.concatenate([places[order[~many]], rows[new]]), rows[(rows != first).any(axis=1)]
+
+
+def _listed(gone: np.ndarray) -> list[pa.Array]:
+    """doc, tie, lines: the lines of each document among places."""
+    gone = gone[np.lexsort((gone[:, 4], gone[:, 3], gone[:, 2]))]
+    new = np.flatnonzero(np.concatenate([[True], (gone[1:, 2:4] != gone[:-1, 2:4]).any(axis=1)]))
+    return [pa.array(gone[new, 2]), pa.array(gone[new, 3]), pa.ListArray.from_arrays(pa.array([*new.tolist(), len(gone)], pa.int32()), pa.array(gone[:, 4].astype(np.int32)))]
+
+
+def packed(rows: np.ndarray) -> list[bytes]:
+    step = PACKED // rows.shape[1]
+    return [rows[k : k + step].tobytes() for k in range(0, len(rows), step)]
+
+
+def unpacked(values: Iterable[bytes], width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(values), np.int64).reshape(-1, width)
+
+
+def scanned(docs: DataFrame) -> DataFrame:
+    """docs: (doc_id, text). Rows of three kinds: doc, tie, lines for documents with lines that a task met before, at an
+    earlier place; places, packed rows of key, check, doc, tie, line_no, those that are left, blank lines left out (checks
+    are second hashes); and bands, packed rows of bucket, key for each line that a task meets first. n counts packed rows."""
+    long = pa.int64()
+    types = {"doc": long, "tie": long, "lines": pa.list_(pa.int32()), "places": pa.binary(), "bands": pa.binary(), "n": long}
+
+    def batch(**columns: object) -> pa.RecordBatch:
+        n = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([columns[c] if isinstance(columns.get(c), pa.Array) else pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in types.items()], list(types))
+
+    def told(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        first, gone = told_apart(np.concatenate(held))
+        if len(gone):
+            yield batch(**dict(zip(("doc", "tie", "lines"), _listed(gone))))
+        values = packed(first)
+        yield batch(places=values, n=[len(x) // 40 for x in values])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        long, longs = pa.int64(), pa.list_(pa.int64())
-        names = ["doc", "tie", "keys", "checks", "key", "bands"]
+        held: list[np.ndarray] = []
+        bands: list[np.ndarray] = []
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                digests, ends, new = [], [0], {}
-                for text in batch.column(2).to_pylist():
+                part = whole.slice(at, 256)
+                digests, sizes, new = [], [], {}
+                for text in part.column(2).to_pylist():
                     own, rows = keyed(text)
                     digests += own
-                    ends.append(len(digests))
+                    sizes.append(len(own))
                     new |= {d: line for d, line in zip(own, rows) if d not in seen}
                 new.pop(BLANK, None)
                 keys, checks = halves(digests)
-                lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, long, mask=keys == 0)) for x in (keys, checks)]
-                none = pa.nulls(batch.num_rows, long), pa.nulls(batch.num_rows, longs)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists, *none], names)
+                ends = np.cumsum(sizes)
+                doc, tie = (np.repeat(part.column(c).to_numpy(), sizes) for c in (0, 1))
+                places = np.stack([keys, checks, doc, tie, np.arange(len(keys)) - np.repeat(ends - sizes, sizes)], axis=1)
+                held.append(places[(keys != 0) | (checks != 0)])
+                if sum(map(len, held)) >= HELD:
+                    yield from told(held)
+                    held = []
                 if len(seen) > SEEN:
                     seen.clear()
                 seen.update(new)
                 if new:
-                    found = signed(list(new.values()))
-                    bands = pa.ListArray.from_arrays(pa.array(np.arange(len(new) + 1, dtype=np.int32) * BANDS), pa.array(found.ravel()))
-                    empty = [pa.nulls(len(new), t) for t in (long, long, longs, longs)]
-                    yield pa.RecordBatch.from_arrays([*empty, pa.array(halves(new)[0]), bands], names)
+                    found = signatures(list(new.values()))
+                    bands.append(np.stack([found.ravel(), np.repeat(halves(new)[0], BANDS)], axis=1))
+                if sum(map(len, bands)) * 2 >= PACKED:
+                    values = packed(np.concatenate(bands))
+                    yield batch(bands=values, n=[len(x) // 16 for x in values])
+                    bands = []
+        if held:
+            yield from told(held)
+        if bands:
+            values = packed(np.concatenate(bands))
+            yield batch(bands=values, n=[len(x) // 16 for x in values])
 
     doc, tie = document_key(docs)
     rows = docs.select(doc.alias("doc"), F.coalesce(tie, F.lit(0)).alias("tie"), F.coalesce(docs["text"], F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc long, tie long, keys array<long>, checks array<long>, key long, bands array<long>")
+    return rows.mapInArrow(run, "doc long, tie long, lines array<int>, places binary, bands binary, n long")
+
+
+def dealt(values: DataFrame, width: int) -> DataFrame:
+    """values: (value, n), packed rows of ``width`` longs, and their number. (slot, value): the same rows, those of one
+    first long in one slot; a task's rows of a slot follow each other."""
+    slots, total = SLOTS[0], values.agg(F.sum("n")).first()[0] or 0
+    while (slots * SLOT_ROWS[0] < total and slots < SLOTS[1]) or slots * SLOT_ROWS[1] < total:
+        slots *= 2
+
+    def deal(held: list[bytes]) -> pa.RecordBatch:
+        rows = unpacked(held, width)
+        slot = ((rows[:, 0] >> 24) & (slots - 1)).astype(np.int32)
+        order = np.argsort(slot, kind="stable")
+        slot, rows = slot[order], rows[order]
+        bounds = [*np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]])).tolist(), len(rows)]
+        return pa.RecordBatch.from_arrays([pa.array(slot[bounds[:-1]]), pa.array([rows[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary())], ["slot", "value"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        for whole in batches:
+            for value in whole.column(0):
+                held.append(value.as_py())
+                if sum(map(len, held)) >= DEALT * 8:
+                    yield deal(held)
+                    held = []
+        if held:
+            yield deal(held)
+
+    return values.select("value").mapInArrow(run, "slot int, value binary").repartition("slot").sortWithinPartitions("slot")
+
+
+def banded_meetings(rows: DataFrame) -> DataFrame:
+    """rows: as scanned. What ``meetings`` gives for their buckets and keys. A slot's rows are in memory at once: with
+    them all distinct lines of a bucket, 16 bytes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, 1):
+            rows = unpacked(group.column(1).to_pylist(), 2)
+            order = np.argsort(rows[:, 0])
+            b = rows[order, 0]
+            same = np.concatenate([[False], b[1:] == b[:-1]])
+            rows = rows[order[same | np.concatenate([same[1:], [False]])]]
+            if not len(rows):
+                continue
+            b, k = rows[np.lexsort((rows[:, 1], rows[:, 0]))].T
+            new = np.concatenate([[True], b[1:] != b[:-1]])
+            least = k[np.maximum.accumulate(np.where(new, np.arange(len(b)), 0))]
+            before = np.concatenate([k[:1], k[:-1]])
+            keep = ~new & (before < k)
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (b, k, least, before)], ["bucket", "key", "least", "before"])
+
+    values = rows.filter("bands is not null").select(F.col("bands").alias("value"), "n")
+    return dealt(values, 2).mapInArrow(run, "bucket long, key long, least long, before long")
+
+
+def firsts(rows: DataFrame, bits: bytes) -> DataFrame:
+    """rows: as scanned. Rows of two kinds: doc, tie, lines for lines that come after an equal one; and key, check, doc,
+    tie, line_no, the first place of each line whose key the filter may have."""
+    shared = rows.sparkSession.sparkContext.broadcast(bits)
+    long = pa.int64()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "check", "doc", "tie", "line_no", "lines"]
+        table = np.frombuffer(shared.value, np.uint8)
+        for group in _groups(batches, 1):
+            first, gone = told_apart(unpacked(group.column(1).to_pylist(), 5))
+            first = first[has_bit(table, first[:, 0].copy().view(np.uint64))]
+            if len(first):
+                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in first.T), pa.nulls(len(first), pa.list_(pa.int32()))], names)
+            if len(gone):
+                doc, tie, lines = _listed(gone)
+                none = pa.nulls(len(doc), long)
+                yield pa.RecordBatch.from_arrays([none, none, doc, tie, none, lines], names)
+
+    values = rows.filter("places is not null").select(F.col("places").alias("value"), "n")
+    return dealt(values, 5).mapInArrow(run, "key long, check long, doc long, tie long, line_no long, lines array<int>")
 
 
 def line_texts(docs: DataFrame, bits: bytes) -> DataFrame:
@@ -312,21 +460,50 @@ def _walk(keys: np.ndarray, parts: np.ndarray, lines: list[str], similarity: flo
     first, each line against those not reached yet, whose shared shingles are counted at once."""
     hashes = numbers(lines)
     sizes = np.fromiter(map(len, hashes), np.int64, len(hashes))
-    every = np.unique(np.concatenate(hashes), return_inverse=True)[1]
-    sets = np.split(every, np.cumsum(sizes)[:-1])
-    owners = np.repeat(np.arange(len(sets)), sizes)
-    dense = len(sets) * (int(every.max()) + 1) <= DENSE
-    if dense:  # a row of ones for each line: shared shingles by products
-        table = np.zeros((len(sets), int(every.max()) + 1), np.float32)
-        table[owners, every] = 1
-    else:
-        owners = owners[np.argsort(every, kind="stable")]
-        starts = np.concatenate([[0], np.cumsum(np.bincount(every))])
+    n = len(hashes)
+    # shingles of two lines or more, numbered, with their lines
+    flat, owners = np.concatenate(hashes), np.repeat(np.arange(n), sizes)
+    order = np.argsort(flat)
+    flat, owners = flat[order], owners[order]
+    starts = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+    counts = np.diff(np.append(starts, len(flat)))
+    owners, counts = owners[np.repeat(counts > 1, counts)], counts[counts > 1]
+    every, starts = np.repeat(np.arange(len(counts)), counts), np.cumsum(counts) - counts
+    # what shares too few with all others together is like none of them
+    left = np.bincount(owners, minlength=n) + MARGIN >= similarity * sizes
     _, part, members = np.unique(parts, return_inverse=True, return_counts=True)
+    if not left.any() or (part[left] == part[left][0]).all():
+        return []
+    likely, wide = left.copy(), -(-len(counts) // 64)
+    dense = n * wide * 64 <= DENSE and n * n * wide <= DENSER * int((counts * counts).sum())
+    square = dense and n * n * wide <= SQUARE
+    if dense:  # a bit for each line and shingle; no products, which would keep other cores busy
+        table = np.zeros((n, wide * 64), bool)
+        table[owners, every] = True
+        table = np.packbits(table, axis=1).view(np.uint64)
+        if square:
+            table = np.bitwise_count(table[:, None] & table).sum(axis=2, dtype=np.int64)
+            likely &= ((table - similarity * (sizes + sizes[:, None] - table) >= -MARGIN) & (part != part[:, None])).any(axis=1)
+            if not likely.any():
+                return []
+    else:
+        order = np.argsort(owners, kind="stable")
+        sets = np.split(every[order], np.cumsum(np.bincount(owners, minlength=n))[:-1])
+
+    def shared(at: int) -> np.ndarray:
+        if square:
+            return table[at]
+        if dense:
+            return np.bitwise_count(table & table[at]).sum(axis=1, dtype=np.int64)
+        own = sets[at]
+        many = counts[own]
+        ends = np.cumsum(many)
+        return np.bincount(owners[np.repeat(starts[own] - ends + many, many) + np.arange(ends[-1] if len(ends) else 0)], minlength=n)
+
     of = [[] for _ in members]
     for k, p in enumerate(part.tolist()):
         of[p].append(k)
-    left, reached = np.ones(len(sets), bool), np.zeros(len(members), bool)
+    reached = np.zeros(len(members), bool)
     links: list[tuple[int, int]] = []
     for start in np.argsort(members, kind="stable").tolist():
         if reached[start]:
@@ -335,10 +512,9 @@ def _walk(keys: np.ndarray, parts: np.ndarray, lines: list[str], similarity: flo
         left[of[start]] = False
         while queue and left.any():
             at = queue.pop()
-            if dense:
-                both = table @ table[at]
-            else:
-                both = np.bincount(np.concatenate([owners[starts[x] : starts[x + 1]] for x in sets[at].tolist()]), minlength=len(sets))
+            if not likely[at]:
+                continue
+            both = shared(at)
             over = both - similarity * (sizes + sizes[at] - both)
             for k in np.flatnonzero(left & (over >= -MARGIN)).tolist():
                 if not reached[part[k]] and (over[k] > MARGIN or alike_exactly(lines[at], lines[k], similarity, shingles)):
@@ -399,7 +575,12 @@ def missed_links(met: DataFrame, found: DataFrame, texts: DataFrame, similarity:
 def families(found: DataFrame, texts_of: Callable[[bytes], DataFrame], similarity: float = SIMILAR, shingles: Callable[[str], set] = shingle_set, numbers: Numbers = shingle_numbers) -> DataFrame:
     """found: (bucket, key), repeats allowed; texts_of: gives the (key, line), repeats allowed, of all keys that a filter
     may have. (node, component) for each key that has a link: keys of lines that share a bucket and are alike."""
-    met = staged(meetings(found), "line-buckets")
+    return met_families(meetings(found), texts_of, similarity, shingles, numbers)
+
+
+def met_families(met: DataFrame, texts_of: Callable[[bytes], DataFrame], similarity: float = SIMILAR, shingles: Callable[[str], set] = shingle_set, numbers: Numbers = shingle_numbers) -> DataFrame:
+    """met: what meets; otherwise as families."""
+    met = staged(met, "line-buckets")
     pairs = staged(candidate_pairs(met), "line-pairs")
     keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
     texts = staged(texts_of(_filter(keys)).join(keys, "key", "left_semi").groupBy("key").agg(F.max("line").alias("line")), "line-texts")
@@ -417,18 +598,28 @@ def families(found: DataFrame, texts_of: Callable[[bytes], DataFrame], similarit
 
 
 def decisions(docs: DataFrame, similarity: float = SIMILAR) -> DataFrame:
-    """docs: (doc_id, text). For each line that goes: doc, tie, line_no."""
+    """docs: (doc_id, text). doc, tie, lines: the numbers of lines that go, each in one row or more."""
     rows = staged(scanned(docs), "line-scan")
-    found = rows.filter("key is not null").select(F.explode("bands").alias("bucket"), "key")
-    found = staged(families(found, lambda bits: line_texts(docs, bits), similarity), "line-families")
+    found = staged(met_families(banded_meetings(rows), lambda bits: line_texts(docs, bits), similarity), "line-families")
+    # lines without alike ones are done with where equal ones are told apart; the others' first places meet by component
+    told = staged(firsts(rows, _filter(found.select(F.col("node").alias("key")))), "line-firsts")
+    places = told.filter("key is not null").join(found, F.col("key") == F.col("node")).select("key", "check", F.struct("doc", "tie", "line_no").alias("place"), "component")
     # a second hash tells lines apart that share a key: those never go in the other's favour
-    places = rows.filter("doc is not null").select("doc", "tie", F.posexplode(F.arrays_zip("keys", "checks")).alias("line_no", "x"))
-    places = places.select("doc", "tie", "line_no", F.col("x.keys").alias("key"), F.col("x.checks").alias("check")).filter("key is not null")
-    first = places.groupBy("key").agg(F.min(F.struct("doc", "tie", "line_no", "check")).alias("first"))
-    first = first.join(found, first["key"] == found["node"], "left").select("key", "first", F.coalesce("component", "key").alias("component"))
-    best = first.groupBy("component").agg(F.min("first").alias("best"))
-    stays = staged(first.join(best, "component").select("key", F.col("first")["check"].alias("own"), F.struct("best.doc", "best.tie", "best.line_no").alias("best")), "line-stays")
-    return places.join(stays, "key").filter((F.col("check") == F.col("own")) & (F.struct("doc", "tie", "line_no") != F.col("best"))).select("doc", "tie", "line_no")
+    first = places.groupBy("key").agg(F.min(F.struct("place", "check")).alias("first"), F.first("component").alias("component"))
+    best = first.groupBy("component").agg(F.min("first.place").alias("best"))
+    ends = first.join(best, "component").filter(F.col("first.place") != F.col("best")).select("first.place.doc", "first.place.tie", F.array(F.col("first.place.line_no").cast("int")).alias("lines"))
+    return ends.union(told.filter("key is null").select("doc", "tie", "lines")).union(rows.filter("lines is not null").select("doc", "tie", "lines"))
+
+
+def _cut(docs: DataFrame, name: str, similarity: float = SIMILAR) -> DataFrame:
+    """docs with a column of what is left: text, n (lines before) and kept (lines of the text); null if no line goes."""
+    doc, tie = document_key(docs)
+    of, at, gone = (fresh(docs, n) for n in ("doc", "tie", "gone"))
+    found = decisions(docs, similarity).groupBy(F.col("doc").alias(of), F.col("tie").alias(at)).agg(F.flatten(F.collect_list("lines")).alias(gone))
+    rows = docs.join(found, (doc == F.col(of)) & (tie == F.col(at)), "left")
+    left = lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), gone), lambda k: F.get(x, k))
+    made = bind(F.split("text", "\n"), lambda x: bind(left(x), lambda y: F.struct(F.array_join(y, "\n").alias("text"), F.size(x).alias("n"), F.size(y).alias("kept"))))
+    return rows.withColumn(name, F.when(F.col(gone).isNotNull(), made)).select(*docs.columns, name)
 
 
 def deduplicated(docs: DataFrame, similarity: float = SIMILAR) -> DataFrame:
@@ -439,22 +630,20 @@ def deduplicated(docs: DataFrame, similarity: float = SIMILAR) -> DataFrame:
     the smallest doc_id (null last), then of the smallest hash of the text, then the smallest line number.
     Repeated rows are one document and come out alike. An empty table gives an empty result.
     """
-    doc, tie = document_key(docs)
-    of, at, gone = (fresh(docs, n) for n in ("doc", "tie", "gone"))
-    found = decisions(docs, similarity).groupBy(F.col("doc").alias(of), F.col("tie").alias(at)).agg(F.collect_set("line_no").alias(gone))
-    rows = docs.join(found, (doc == F.col(of)) & (tie == F.col(at)), "left")
-    lines = F.split("text", "\n")
-    left = bind(lines, lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), gone), lambda k: F.get(x, k)))
-    out = rows.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
+    cut = fresh(docs, "cut")
+    rows = _cut(docs, cut, similarity)
+    out = rows.withColumn("text", F.when(F.col(cut).isNull(), F.col("text")).otherwise(F.col(f"{cut}.text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col(cut).isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 
 
 def line_report(docs: DataFrame) -> DataFrame:
     """For each row of docs (doc_id, text): doc_id, n_lines, kept_lines and text_sha256, of its text as it comes
     out of deduplicated."""
-    lines = lambda c: F.when(F.coalesce(c, F.lit("")) == "", 0).otherwise(F.size(F.split(c, "\n"))).cast("long")
-    rows = docs.select("doc_id", "text", lines(F.col("text")).alias("n_lines"))
-    out = deduplicated(rows)
-    return out.select("doc_id", "n_lines", lines(F.col("text")).alias("kept_lines"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    rows = _cut(docs.select("doc_id", "text"), "cut")
+    text = F.coalesce(F.when(F.col("cut").isNull(), F.col("text")).otherwise(F.col("cut.text")), F.lit(""))
+    whole = F.when(text == "", 0).otherwise(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
+    n_lines = F.when(F.col("cut").isNull(), whole).otherwise(F.col("cut.n"))
+    kept = F.when(F.col("cut").isNull(), whole).when(text == "", 0).otherwise(F.col("cut.kept"))
+    return rows.select("doc_id", n_lines.cast("long").alias("n_lines"), kept.cast("long").alias("kept_lines"), F.sha2(text, 256).alias("text_sha256"))

@@ -193,7 +193,7 @@ def word_shingles(text: str) -> set[bytes]:
 
 def word_numbers(texts: list[str]) -> list[np.ndarray]:
     """The distinct hashes of each text's runs of NEAR_SHINGLE words, ascending."""
-    return [np.unique(longer(shingle_hashes(t, NEAR_SHINGLE - 1))) for t in texts]
+    return [lines.ascending(longer(shingle_hashes(t, NEAR_SHINGLE - 1))) for t in texts]
 
 
 def near_links(docs: DataFrame, rows: DataFrame) -> DataFrame:

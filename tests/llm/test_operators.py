@@ -177,6 +177,67 @@ def test_meetings_across_batches(spark):
     assert got == sorted((b, k, ks[0], p) for b, ks in keys.items() for p, k in zip(ks, ks[1:]))
 
 
+def test_lines_travel_packed_and_repeats_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(lines, "HELD", 500)
+    monkeypatch.setattr(lines, "PACKED", 5000)
+    monkeypatch.setattr(lines, "DEALT", 7000)
+    monkeypatch.setattr(lines, "SLOTS", (4, 8))
+    rng = np.random.default_rng(3)
+    texts = {k: [f"line {n} of some {n * 7919 % 1000} words" for n in rng.integers(0, 1200, 12).tolist()] for k in range(300)}
+    rows = [(k, "\n".join(x[:6] + [""] + x[6:])) for k, x in texts.items()]
+    df = spark.createDataFrame([*rows, rows[7]], "doc_id long, text string").repartition(3)
+    scan = lines.scanned(df).cache()
+    # rows are by task and document, not by line
+    assert scan.filter("doc is null").count() < 100 and scan.count() < 400 + 100
+    pairs = np.concatenate([lines.unpacked([r.bands], 2) for r in scan.filter("bands is not null").collect()]).tolist()
+    distinct = sorted({x for v in texts.values() for x in v})
+    assert len({tuple(p) for p in pairs}) == len(distinct) * lines.BANDS
+    got = sorted(tuple(r) for r in lines.banded_meetings(scan).collect())
+    assert got and got == sorted(tuple(r) for r in lines.meetings(spark.createDataFrame(pairs, "bucket long, key long")).collect())
+    told = lines.firsts(scan, b"\xff" * (lines.FILTER_BITS[0] // 8)).collect()
+    place = {x: min((d, n + (n > 5)) for d, v in texts.items() for n, y in enumerate(v) if x == y) for x in distinct}
+    assert sorted((r.doc, r.line_no) for r in told if r.key is not None) == sorted(place.values())
+    gone = {(r.doc, n) for r in [*told, *scan.collect()] if r.lines for n in r.lines}
+    assert gone == {(d, n + (n > 5)) for d, v in texts.items() for n in range(12)} - set(place.values())
+    assert not [r for r in lines.firsts(scan, bytes(lines.FILTER_BITS[0] // 8)).collect() if r.key is not None]
+
+
+def test_places_of_lines_that_share_a_key():
+    rows = np.array([[5, 1, 9, 0, 4], [5, 2, 3, 0, 1], [5, 1, 9, 0, 2], [6, 0, 1, 1, 1], [5, 1, 9, 0, 2], [5, 2, 3, 0, 1]], np.int64)
+    first, gone = lines.told_apart(rows)
+    assert sorted(first.tolist()) == [[5, 1, 9, 0, 2], [5, 2, 3, 0, 1], [6, 0, 1, 1, 1]] and gone.tolist() == [[5, 1, 9, 0, 4]]
+
+
+@pytest.mark.parametrize("sizes", [(1 << 25, 10**9, 1 << 30), (1 << 25, 10**9, 0), (0, 0, 0)])
+def test_walk_by_each_table_against_all_pairs(monkeypatch, sizes):
+    for name, size in zip(("DENSE", "DENSER", "SQUARE"), sizes):
+        monkeypatch.setattr(lines, name, size)
+    rng = np.random.default_rng(5)
+    letters = list("abcdefghij klmnop")
+    data: list[str] = []
+    for _ in range(12):
+        base = rng.choice(letters, 90)
+        for _ in range(int(rng.integers(1, 7))):
+            text = base.copy()
+            text[rng.integers(0, 90, int(rng.integers(0, 4)))] = "z"
+            data.append("".join(text))
+    data = [*dict.fromkeys(data), "short", "x"]
+    parts = np.arange(len(data), dtype=np.int64) // 2 * 2
+    sets = [lines.shingle_set(x) for x in data]
+    like = {(i, j) for i in range(len(data)) for j in range(len(data)) if i != j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    got = lines._walk(np.arange(len(data), dtype=np.int64), parts, data, 0.8, lines.shingle_set, lines.shingle_numbers)
+    assert got and set(got) <= like
+
+    def groups(links):
+        of = list(range(len(data)))
+        for a, b in [*links, *((int(p), k) for k, p in enumerate(parts))]:
+            of = [of[a] if x == of[b] else x for x in of]
+        return of
+
+    assert [groups(got)[k] == groups(got)[0] for k in range(len(data))] == [groups(like)[k] == groups(like)[0] for k in range(len(data))]
+    assert len(set(groups(got))) == len(set(groups(like)))
+
+
 def test_line_filter_has_the_keys_at_its_ends(spark):
     size = lines.FILTER_BITS[0]
     keys = spark.createDataFrame([(k,) for k in (0, size + 1, 777, size - 1, -3 * size)], "key long")
