@@ -223,6 +223,70 @@ def test_linkage_and_source_scores_take_all_files(spark, tmp_path):
     assert {(r.xref_a, r.xref_b) for r in queries.q_source_scores(spark, str(tmp_path)).collect() if r.xref_a == r.xref_b} == {(f"@f{k}:S1@",) * 2 for k in range(3)}
 
 
+def test_choices_in_groups_of_names_are_those_of_all_pairs(spark):
+    """Against all scored pairs taken in order: every kind of date, places, sexes, names alike; pairs of relatives, known parents."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from kinloom.functions import dates
+
+    rng = random.Random(7)
+
+    def person(side, k):
+        date = lambda e: rng.choice([None, "{y}", "5 MAY {y}", "MAY {y}", "6 MAY {y}", "ABT {y}", "BEF {y}", "AFT {y}", "BET {y} AND {z}"])
+        years = lambda d, low: d and d.format(y=rng.randint(low, low + 14), z=rng.randint(low, low + 20))
+        place = lambda: rng.choice([None, "", "Oslo, Norway", "Oslo, Norway,", "Oslo, Sweden", "Rome"])
+        return (f"{side}{k:03}", rng.choice(["anna", "anna maria", "ann", "karl"]), rng.choice(["smith", "smyth", "olsen"]), rng.choice(["M", "F", "F", None]), years(date("b"), 1800), place(), years(date("d"), 1850), place())
+
+    columns = "xref string, given string, surname string, sex string, b string, birth_place string, d string, death_place string"
+    rows = {s: [person(s, k) for k in range(150)] for s in "ab"}
+    a, b = (
+        spark.createDataFrame(rows[s], columns).withColumn("birth", dates.parse_date(F.coalesce("b", F.lit("")))).withColumn("death", dates.parse_date(F.coalesce("d", F.lit("")))).drop("b", "d").persist()
+        for s in "ab"
+    )
+    pairs = [(r.xref_a, r.xref_b, r.score) for r in linkage.person_scores(a, b).filter(F.col("score") >= linkage.AUTO).collect()]
+    near = [(x[0], y[0], rng.choice([0.9, 0.85, 0.8, 0.76])) for x, y in zip(rows["a"], rows["b"]) if (x[2] == "olsen") == (y[2] == "olsen")]
+    parents = [(f"a{k:03}", role, "p") for k in range(0, 150, 2) for role in ("HUSB", "WIFE")[: 1 + k % 3 // 2]]
+    matched = {f"b{k:03}": 1 + k % 3 for k in range(0, 150, 4)}
+    roles = {}
+    for child, role, _ in parents:
+        roles[child] = roles.get(child, 0) | (1 if role == "HUSB" else 2)
+
+    def taken(rows):
+        used, out = set(), set()
+        for x, y, score in sorted(rows, key=lambda r: (-r[2], r[0], r[1])):
+            if not {x, y} & used:
+                used |= {x, y}
+                out.add((x, y, score))
+        return out
+
+    pa, pb = linkage.name_classes(a), linkage.name_classes(b)
+    names = linkage.name_scores(*(p.filter("xref = class") for p in (pa, pb))).withColumnsRenamed({"xref_a": "class_a", "xref_b": "class_b"})
+    groups = linkage.name_groups(pa, pb, names, spark.createDataFrame(parents, "child string, role string, parent string"))
+    assert len(pairs) > 100 and len(near) > 50
+    assert {tuple(r) for r in linkage.choose(groups).collect()} == taken(pairs)
+    got = linkage.choose(groups, spark.createDataFrame(near, "xref_a string, xref_b string, score double"), spark.createDataFrame(list(matched.items()), "x string, roles int"))
+    free = [r for r in pairs if not roles.get(r[0], 0) & matched.get(r[1], 0)]
+    assert {tuple(r) for r in got.collect()} == taken(near + free)
+
+
+def test_linking_writes_no_table_of_all_pairs_of_a_name(spark, monkeypatch):
+    n, sizes = 300, []
+    raw = [("f", j, x) for k in range(n) for j, x in enumerate((f"0 @I{k:03}@ INDI", "1 NAME Anna /Berg/", "1 SEX F", "1 BIRT", f"2 DATE AFT {1800 + k % 40}", "2 PLAC Oslo"), 6 * k)]
+    lines = lineage.parse_lines(spark.createDataFrame(raw, "file_id string, lineno long, raw string")).persist()
+
+    def counted(df, tag, real=linkage.staged):
+        sizes.append((out := real(df, tag)).count())
+        return out
+
+    monkeypatch.setattr(linkage, "staged", counted)
+    monkeypatch.setattr(pipelines, "staged", counted)
+    got = {(r.xref_a, r.xref_b) for r in pipelines.link(lines, lines, rounds=1).collect()}
+    assert got == {(f"@I{k:03}@",) * 2 for k in range(n)}
+    assert max(sizes) <= 3 * n
+
+
 def test_sources_are_scored_by_class(spark):
     """Against all pairs by brute force: titles without words, copies, titles within others, equal prefixes, repeated words."""
     import random
